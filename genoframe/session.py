@@ -1,10 +1,12 @@
-"""Session settings for local runs; on a cluster the session comes from spark-submit."""
+"""Sessions for local runs, and intermediate tables. On a cluster the session comes from spark-submit."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | None = None, partitions: int | None = None, memory: str = "8g") -> SparkSession:
@@ -21,3 +23,31 @@ def local_session(cores: int | None = None, partitions: int | None = None, memor
         .config("spark.sql.shuffle.partitions", str(partitions or cores))
         .getOrCreate()
     )
+
+
+class Scratch:
+    """Tables written to the folder of ``spark.checkpoint.dir``, which driver and executors share.
+
+    A written table cuts the lineage: a lost executor costs a re-read, not a re-computation. Where the
+    setting is missing a temporary folder stands in, but only for a local master.
+    """
+
+    def __init__(self, spark: SparkSession):
+        root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+            root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
+        self.spark, self.root = spark, f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+    def save(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        saved = self.spark.read.schema(df.schema).parquet(path)
+        saved._scratch_path = path
+        return saved
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete a saved table that no later plan reads."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
