@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from genoframe.session import Scratch  # noqa: F401
+
 #: A word: a run of characters that are not ASCII white space. The same pattern works in Java, Python and RE2.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,34 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-class Scratch:
-    """Tables written to the folder of ``spark.checkpoint.dir``, which driver and executors share.
-
-    A written table cuts the lineage: a lost executor costs a re-read, not a re-computation. Where the
-    setting is missing a temporary folder stands in, but only for a local master.
-    """
-
-    def __init__(self, spark: SparkSession):
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not root:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-            root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-        self.spark, self.root = spark, f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        saved = self.spark.read.schema(df.schema).parquet(path)
-        saved._scratch_path = path
-        return saved
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a saved table that no later plan reads."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def join_small(left: DataFrame, right: DataFrame, on, how: str, limit: int = 1_000_000) -> DataFrame:
     """Join with a table that is usually small: broadcast below ``limit`` rows (counted), shuffled from there on.
 
