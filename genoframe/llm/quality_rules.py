@@ -29,6 +29,12 @@ CUTOFFS = {
 SYMBOLS = "#*$%&|<>"
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: lambdas that look at a whole array must not compute it per element,
+    as they would where the optimizer puts the array's expression in place of its name."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def base_features(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, base_failed."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -37,25 +43,23 @@ def base_features(df: DataFrame, text: str = "text") -> DataFrame:
     with_windows = with_words.withColumn("_w", F.when(F.size("_words") >= 8, window).otherwise(F.array().cast("array<bigint>")))
     # Positions of windows that occur again, from a sort by (hash, position); a word counts once, in the last one before it.
     pairs = F.array_sort(F.transform("_w", lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
-    again = F.filter(
-        pairs,
-        lambda x, i: ((i > 0) & (F.get(pairs, i - 1)["h"] == x["h"])) | ((i < F.size(pairs) - 1) & (F.get(pairs, i + 1)["h"] == x["h"])),
-    )
-    with_pairs = with_windows.withColumn("_s", F.when(F.size(F.array_distinct("_w")) < F.size("_w"), pairs))
-    s = F.col("_s")
-    again = F.filter(s, lambda x, i: ((i > 0) & (F.get(s, i - 1)["h"] == x["h"])) | ((i < F.size(s) - 1) & (F.get(s, i + 1)["h"] == x["h"])))
-    with_again = with_pairs.withColumn("_a", F.when(F.size("_s") > 0, F.array_sort(F.transform(again, lambda x: x["p"]))))
-    a = F.col("_a")
-    covered = F.aggregate(a, F.struct(F.lit(0).alias("n"), F.lit(-8).alias("last")), lambda c, p: F.struct((c["n"] + F.least(F.lit(8), p - c["last"])).alias("n"), p.alias("last")), lambda c: c["n"])
+
+    def covered(s: Column) -> Column:
+        again = F.filter(s, lambda x, i: ((i > 0) & (F.get(s, i - 1)["h"] == x["h"])) | ((i < F.size(s) - 1) & (F.get(s, i + 1)["h"] == x["h"])))
+        start = F.struct(F.lit(0).alias("n"), F.lit(-8).alias("last"))
+        add = lambda c, p: F.struct((c["n"] + F.least(F.lit(8), p - c["last"])).alias("n"), p.alias("last"))
+        return F.aggregate(F.array_sort(F.transform(again, lambda x: x["p"])), start, add, lambda c: c["n"])
+
+    repeats = F.when(F.size(F.array_distinct("_w")) < F.size("_w"), bound(pairs, covered))
     return (
-        with_again.withColumn("n_words", F.size("_words").cast("long"))
+        with_windows.withColumn("n_words", F.size("_words").cast("long"))
         .withColumn("word_chars", F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long"))
         .withColumn("n_symbols", (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"))
         .withColumn("n_lines", F.size("_lines").cast("long"))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-        .withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
+        .withColumn("n_repeat_words", F.coalesce(repeats, F.lit(0)).cast("long"))
         .withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-        .drop("_words", "_lines", "_w", "_s", "_a")
+        .drop("_words", "_lines", "_w")
     )
 
 
@@ -108,7 +112,8 @@ def judge(features: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> Dat
     over = F.lit(False)
     for rule, value in rule_values().items():
         over = over | F.coalesce(value > F.col(f"cut_{rule}"), F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~over).drop("stratum", *[f"cut_{r}" for r in CUTOFFS])
+    # One condition that needs the cutoffs: it is not split and pushed into the texts' scan, which would count twice.
+    return joined.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(~over)).drop("stratum", *[f"cut_{r}" for r in CUTOFFS])
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.005, delta: float = 0.05) -> DataFrame:
@@ -122,7 +127,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ris
 def keep_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.005, delta: float = 0.05) -> DataFrame:
     """The documents that the rules keep, with their own columns. Texts are read twice rather than shuffled."""
     scratch = Scratch(docs.sparkSession)
-    features = base_features(docs.select("doc_id", "text", stratum)).drop("text")
+    features = scratch.save(base_features(docs.select("doc_id", "text", stratum)).drop("text"))
     cutoffs = scratch.save(certified_cutoffs(features, labels, stratum, risk, delta))
     return judge(base_features(docs), cutoffs, stratum).where("kept").select(*docs.columns)
 
