@@ -20,7 +20,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -72,6 +71,7 @@ class Encoder:
         self.numerals = list(map(str, range(self.size)))
         self.pairs = Memory(self.compatible)
         self.known = Memory(self.chunk_ids)
+        self.outlines = Memory(self.outline)
         # What each id decodes to; bytes over 0x7F only mean something together and are looked at apart.
         self.written = ["" if sp.is_control(i) else " ⁇ " if sp.is_unknown(i) else sp.id_to_piece(i).replace(MARK, " ") for i in range(sp.get_piece_size())]
         for b in range(128):
@@ -134,13 +134,18 @@ class Encoder:
             return self.sp.decode(ids)
         return text[1:] if text[:1] == " " else text
 
+    def outline(self, chunk: str) -> tuple[int, str, str]:
+        """A chunk's number of ids, their numerals and what they decode to. A character's bytes never cross chunks."""
+        ids = self.chunk_ids(chunk)
+        written = self.sp.decode([self.byte_ids[0], *ids])[1:] if not self.high.isdisjoint(ids) else "".join(map(self.written.__getitem__, ids))
+        return len(ids), " ".join(map(self.numerals.__getitem__, ids)), written
+
     def digest(self, text: str) -> tuple[int, str, str]:
-        """n_tokens, sha256 of the ids and sha256 of the decoded text."""
-        ids = list(chain.from_iterable(map(self.known.__getitem__, self.split(text))))
-        ids.append(self.end)
-        written = " ".join(map(self.numerals.__getitem__, ids))
+        """n_tokens, sha256 of the ids and sha256 of the decoded text. Chunks recur, so it works by chunks, not by ids."""
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-        return len(ids), sha(written), sha(self.decode(ids))
+        counts, numerals, written = zip((1, self.numerals[self.end], ""), *map(self.outlines.__getitem__, self.split(text)), strict=True)
+        decoded = "".join(written)
+        return sum(counts), sha(" ".join((*numerals[1:], numerals[0]))), sha(decoded[1:] if decoded[:1] == " " else decoded)
 
 
 @lru_cache(maxsize=2)
