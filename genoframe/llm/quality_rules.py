@@ -125,11 +125,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ris
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.005, delta: float = 0.05) -> DataFrame:
-    """The documents that the rules keep, with their own columns. Texts are read twice rather than shuffled."""
+    """The documents that the rules keep, with their own columns, whatever their names.
+
+    Rows are saved with their features, so that these are counted once and texts are not shuffled.
+    """
     scratch = Scratch(docs.sparkSession)
-    features = scratch.save(base_features(docs.select("doc_id", "text", stratum)).drop("text"))
+    whole = docs.select("doc_id", "text", stratum, F.struct(*docs.columns).alias("_row"))
+    features = scratch.save(base_features(whole).drop("text"))
     cutoffs = scratch.save(certified_cutoffs(features, labels, stratum, risk, delta))
-    return judge(base_features(docs), cutoffs, stratum).where("kept").select(*docs.columns)
+    return judge(features, cutoffs, stratum).where("kept").select("_row.*")
 
 
 OUT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
