@@ -9,12 +9,14 @@ Elements whose tag or class names them as navigation, advert, form, comment and
 a page has an article or main element, content is what lies in it.
 
 Pages are parsed twice and never grouped; what is shuffled are (host, tree) and (host, node, hash of a text) counts,
-which are summed before the shuffle, so a host with a third of all pages is no load for one task. The wrappers, one
-row a host, are joined to the pages by broadcast up to a checked number of rows and by shuffle beyond.
+which are summed before the shuffle, so a host with a third of all pages is no load for one task; distinct pages are
+counted exactly, from (host, node, hash of a text, digest of a page). The wrappers, one row a host, are joined to the
+pages by broadcast up to a checked number of rows and by shuffle beyond.
 
 Defined cases: null and empty html gives an empty text; pages without a usable host share the host ""; hosts with
 fewer than ``least`` pages have no constant texts; equal pages: a page's text is only template if pages that are not
-copies of each other have it, so copies count once; repeated rows get equal results; broken markup is read as far as
+copies of each other have it, so copies count once, among the pages that have a text as among all of the host;
+repeated rows get equal results; broken markup is read as far as
 it goes, and open elements end where the page or their parent ends; an empty table gives none; other columns are
 ignored.
 """
@@ -29,7 +31,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genoframe.llm.common import Scratch, table
@@ -256,6 +258,15 @@ def main_text(page: str | None, reference: str | None, constant: frozenset, link
 # --- Spark -----------------------------------------------------------------------------------------------------
 
 
+def host_column() -> Column:
+    return F.coalesce(F.lower(F.regexp_extract("url", r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
+
+
+def page_column() -> Column:
+    """The digest of a page, equal for its copies."""
+    return F.xxhash64(F.coalesce("html", F.lit("")))
+
+
 def induce(pages: DataFrame, scratch: Scratch, least: int = 5, share: float = 0.8, link_share: float = 0.6) -> DataFrame:
     """The wrapper of each host: host, reference, constant ("node\\thash" of template texts), linked (nodes of links)."""
 
@@ -264,23 +275,26 @@ def induce(pages: DataFrame, scratch: Scratch, least: int = 5, share: float = 0.
             yield pd.DataFrame({"host": [host_of(u) for u in b["url"]], "tree": [written(shape(parse(h))) for h in b["html"]]})
 
     counted = pages.select("url", "html").mapInPandas(trees, "host string, tree string").groupBy("host", "tree").agg(F.count("*").alias("n"))
-    references = scratch.save(counted.groupBy("host").agg(F.max(F.struct("n", "tree"))["tree"].alias("reference"), F.sum("n").alias("pages")))
+    references = scratch.save(counted.groupBy("host").agg(F.max(F.struct("n", "tree"))["tree"].alias("reference")))
+    digests = pages.select(host_column().alias("host"), page_column().alias("page")).distinct()
+    distinct = digests.groupBy("host").agg(F.count("*").alias("all"))
 
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for host, page, ref in zip(b["host"], b["html"], b["reference"], strict=True):
+            for host, key, page, ref in zip(b["host"], b["page"], b["html"], b["reference"], strict=True):
                 root = parse(page)
                 to = alignment(shape(root), ref)
-                key = digest(page or "")
                 rows += [(host, key, to[at], digest(text), len(text), linked) for at, n, text, linked in blocks(root) if not n.skipped]
             yield pd.DataFrame(rows, columns=["host", "page", "node", "text", "chars", "linked"])
 
-    seen = with_host(pages, references).mapInPandas(slots, "host string, page long, node string, text long, chars long, linked long")
+    source = with_host(pages, references).select("host", page_column().alias("page"), "html", "reference")
+    seen = source.mapInPandas(slots, "host string, page long, node string, text long, chars long, linked long")
     # Copies of a page and a text twice in one page count once.
-    per_text = seen.groupBy("host", "node", "text").agg(F.approx_count_distinct("page").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    per_page = seen.groupBy("host", "node", "text", "page").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    per_text = per_page.groupBy("host", "node", "text").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
     per_text = scratch.save(per_text)
-    many = references.where(F.col("pages") >= least).select("host", F.col("pages").alias("all"))
+    many = distinct.where(F.col("all") >= least)
     constant = per_text.where(F.col("pages") >= least).join(many, "host").where(F.col("pages") >= share * F.col("all"))
     constant = constant.groupBy("host").agg(F.array_sort(F.collect_set(F.concat_ws("\t", "node", F.col("text").cast("string")))).alias("constant"))
     linked = per_text.groupBy("host", "node").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked")).where(F.col("linked") > link_share * F.col("chars"))
@@ -290,9 +304,8 @@ def induce(pages: DataFrame, scratch: Scratch, least: int = 5, share: float = 0.
 
 def with_host(pages: DataFrame, by_host: DataFrame) -> DataFrame:
     """``pages`` with the columns of ``by_host``: broadcast while it has few rows (counted), shuffled beyond."""
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     small = by_host.limit(20_000).count() < 20_000
-    return pages.withColumn("host", host).join(F.broadcast(by_host) if small else by_host, "host", "left")
+    return pages.withColumn("host", host_column()).join(F.broadcast(by_host) if small else by_host, "host", "left")
 
 
 def extract(pages: DataFrame, least: int = 5, share: float = 0.8) -> DataFrame:

@@ -172,6 +172,18 @@ def test_wrapper_drops_template_without_semantic_tags(spark):
     assert got[3] == "Title 51 Own text 51 of the page And more 51"
 
 
+def test_wrapper_of_a_host_made_of_copies(spark):
+    """The share of pages that have a text is one of distinct pages, and exact."""
+    page = "<div><p>Always the same words here</p></div><div>{1}</div><div><h2>Title {0}</h2><p>Own text {0}</p></div>"
+    notes = lambda i: "Seen on most" if i % 5 else f"Other {i}"
+    rows = [(i, f"http://h.example/{i}", page.format(i * 17, notes(i))) for i in range(500)]
+    rows += [(1000 + k, f"http://h.example/c{k}", rows[3][2]) for k in range(4000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    assert got[3] == got[1000] == got[4999] == "Title 51 Own text 51"
+    assert all(got[i] == ("" if i % 5 else f"Other {i} ") + f"Title {i * 17} Own text {i * 17}" for i in range(500))
+
+
 def test_simple_tree_matching():
     a, b = html_extract.read_shape("d(a,b(x),c)"), html_extract.read_shape("d(a,e,b(x,y))")
     assert html_extract.match(a, b, {})[0] == 4
