@@ -25,10 +25,11 @@ from __future__ import annotations
 
 import html
 import re
-import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -53,13 +54,24 @@ ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 NAME = re.compile(r"[a-z]+|[0-9]+")
 
 
-@dataclass
+@dataclass(eq=False)
+class Shape:
+    """A label and the shapes of children. Equal shapes of one tree are one object; ``size`` counts nodes."""
+
+    label: str
+    children: tuple
+    size: int
+
+
+@dataclass(eq=False)
 class Node:
     tag: str
     names: str = ""
     skipped: bool = False
     parent: Node | None = None
     children: list = field(default_factory=list)  # nodes and (text, whether in a link)
+    framed: bool = False  # in an article or main element, or one itself
+    shape: Shape | None = None
 
 
 def parse(page: str | None) -> Node:
@@ -94,7 +106,7 @@ def parse(page: str | None) -> Node:
                 names = " ".join(x for a in ATTR.findall(attrs) for x in NAME.findall((a[1] or a[2] or a[3]).lower()))
             words = set(names.split())
             skipped = tag in SKIPPED or bool(words & NAMES) and not (tag in ("main", "article") and not words & {"comment", "comments"}) or (tag == "header" and not inside(at, "article"))
-            node = Node(tag, names, skipped or at.skipped, at)
+            node = Node(tag, names, skipped or at.skipped, at, framed=at.framed or tag in ("article", "main"))
             at.children.append(node)
             if not attrs.rstrip().endswith("/"):
                 at = node
@@ -135,49 +147,91 @@ def label(n: Node) -> str:
     return f"{n.tag}.{n.names.replace(' ', '.')}" if n.names else n.tag
 
 
-def shape(n: Node) -> tuple:
-    """(label, shapes of children), equal neighbours once."""
-    out: list[tuple] = []
-    for c in n.children:
-        if isinstance(c, Node):
-            s = shape(c)
-            if not out or out[-1] != s:
-                out.append(s)
-    return label(n), tuple(out)
+def known(label: str, children: list[Shape], table: dict) -> Shape:
+    """The shape in ``table`` with this label and these children."""
+    key = label, tuple(children)
+    if key not in table:
+        table[key] = Shape(*key, 1 + sum(c.size for c in children))
+    return table[key]
+
+
+def shape(root: Node) -> Shape:
+    """The tree of labels, equal neighbours once; built from the leaves, each node keeps its own."""
+    table: dict = {}
+    order = [root]
+    for n in order:
+        order.extend(c for c in n.children if isinstance(c, Node))
+    for n in reversed(order):
+        out: list[Shape] = []
+        for c in n.children:
+            if isinstance(c, Node) and (not out or out[-1] is not c.shape):
+                out.append(c.shape)
+        n.shape = known(label(n), out, table)
+    return root.shape
+
+
+def written(s: Shape) -> str:
+    out, todo = [], [s]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+            continue
+        out.append(x.label)
+        if x.children:
+            todo.append(")")
+            for c in reversed(x.children):
+                todo += c, ","
+            todo[-1] = "("
+    return "".join(out)
 
 
-def written(s: tuple) -> str:
-    return s[0] + (f"({','.join(map(written, s[1]))})" if s[1] else "")
+def read_shape(text: str) -> Shape:
+    table: dict = {}
+    stack: list[list] = [["", []]]  # the open shapes: a label ends at the next comma or bracket after its children
 
+    def close() -> None:
+        name, children = stack.pop()
+        stack[-1][1].append(known(name, children, table))
 
-def read_shape(text: str) -> tuple:
-    stack: list[list] = [["", []]]
     for part in re.findall(r"[^(),]+|[(),]", text):
-        if part == "(":
-            stack.append(stack[-1][1][-1])
-        elif part == ")":
-            stack.pop()
-        elif part != ",":
-            stack[-1][1].append([part, []])
-    freeze = lambda x: (x[0], tuple(map(freeze, x[1])))
-    return freeze(stack[0][1][0]) if stack[0][1] else ("html", ())
+        if part not in "(),":
+            stack.append([part, []])
+        elif part != "(" and len(stack) > 1:
+            close()
+    while len(stack) > 1:
+        close()
+    return stack[0][1][0] if stack[0][1] else known("html", [], table)
 
 
-def match(a: tuple, b: tuple, memo: dict) -> tuple[int, tuple]:
+def match(a: Shape, b: Shape, memo: dict) -> tuple[int, tuple]:
     """Simple tree matching: (matched nodes, matched pairs of child positions) of two trees with equal labels."""
-    if a[0] != b[0]:
+    if a.label != b.label:
         return 0, ()
-    if (got := memo.get((a, b))) is not None:
-        return got
-    rows = [[0] * (len(b[1]) + 1)]
-    score = {}
-    for i, x in enumerate(a[1], 1):
+    todo = [(a, b)]
+    while todo:
+        x, y = todo[-1]
+        if (x, y) in memo:
+            todo.pop()
+            continue
+        below = [(c, d) for c in x.children for d in y.children if c.label == d.label and (c, d) not in memo]
+        if below:
+            todo += below
+            continue
+        memo[todo.pop()] = matched_children(x, y, memo)
+    return memo[a, b]
+
+
+def matched_children(a: Shape, b: Shape, memo: dict) -> tuple[int, tuple]:
+    """``match`` of two trees, of whose children all pairs with equal labels are in ``memo``."""
+    rows = [[0] * (len(b.children) + 1)]
+    for x in a.children:
         row = [0]
-        for j, y in enumerate(b[1], 1):
-            score[i, j] = w = match(x, y, memo)[0]
+        for j, y in enumerate(b.children, 1):
+            w = memo[x, y][0] if x.label == y.label else 0
             row.append(max(row[-1], rows[-1][j], rows[-1][j - 1] + w))
         rows.append(row)
-    pairs, i, j = [], len(a[1]), len(b[1])
+    pairs, i, j = [], len(a.children), len(b.children)
     while i and j:
         if rows[i][j] == rows[i - 1][j]:
             i -= 1
@@ -186,32 +240,37 @@ def match(a: tuple, b: tuple, memo: dict) -> tuple[int, tuple]:
         else:
             pairs.append((i - 1, j - 1))
             i, j = i - 1, j - 1
-    memo[a, b] = out = (1 + rows[-1][-1], tuple(reversed(pairs)))
-    return out
+    return 1 + rows[-1][-1], tuple(reversed(pairs))
 
 
 @lru_cache(20_000)
-def alignment(page: tuple, reference: str) -> dict[tuple, str]:
-    """{path in the page's tree: path in the reference's}; a node without a partner has its own path, marked."""
-    ref, memo, out = read_shape(reference), {}, {}
-
-    def walk(a: tuple, b: tuple | None, at: tuple, name: str) -> None:
-        out[at] = name
+def alignment(page: str, reference: str) -> array:
+    """Numbers of the nodes of a written tree, in its order: those of partners in the reference, or own ones.
+
+    A number is the digest of the path of labels and of positions in the reference, so of one length at any depth.
+    """
+    a, ref, memo, out = read_shape(page), read_shape(reference), {}, array("q")
+    todo = [(a, ref if ref.label == a.label else None, digest(a.label))]
+    while todo:
+        a, b, name = todo.pop()
+        out.append(name)
         partner = dict(match(a, b, memo)[1]) if b is not None else {}
-        for i, child in enumerate(a[1]):
+        below = []
+        for i, child in enumerate(a.children):
             j = partner.get(i)
-            walk(child, None if j is None else b[1][j], (*at, i), f"{name}/{child[0]}" + (f"[{j}]" if j is not None else "+"))
-
-    walk(page, ref if ref[0] == page[0] else None, (), page[0])
+            below.append((child, None if j is None else b.children[j], digest(f"{name}/{child.label}" + (f"[{j}]" if j is not None else "+"))))
+        todo += reversed(below)
     return out
 
 
-def blocks(root: Node) -> Iterator[tuple[tuple, Node, str, int]]:
-    """(path in the shape, block, its text, characters in links) in page order."""
-
-    def walk(n: Node, at: tuple) -> Iterator[tuple[tuple, Node, str, int]]:
-        text, linked, last, k = [], 0, None, -1
-        for c in [*n.children, None]:
+def blocks(root: Node) -> Iterator[tuple[int, Node, str, int]]:
+    """(place in the written shape, block, its text, characters in links) in page order, once ``shape`` has run."""
+    text, linked = [], 0
+    todo = [[root, 0, iter([*root.children, None]), None, 1]]  # block, its place, what follows, last shape and its place
+    while todo:
+        top = todo[-1]
+        n, at, rest, last, place = top
+        for c in rest:
             if isinstance(c, tuple):
                 text.append(c[0])
                 linked += len(c[0]) * c[1]
@@ -220,13 +279,14 @@ def blocks(root: Node) -> Iterator[tuple[tuple, Node, str, int]]:
                 if flat := " ".join(html.unescape("".join(text)).split()):
                     yield at, n, flat, linked
                 text, linked = [], 0
-            if c is not None:
-                s = shape(c)
-                if s != last:
-                    last, k = s, k + 1
-                yield from walk(c, (*at, k))
-
-    yield from walk(root, ())
+            if c is None:
+                todo.pop()
+            else:
+                if c.shape is not last:
+                    place = at + 1 if last is None else place + last.size
+                    top[3:] = c.shape, place
+                todo.append([c, place, iter([*c.children, None]), None, 0])
+            break
 
 
 def host_of(url: str | None) -> str:
@@ -235,18 +295,17 @@ def host_of(url: str | None) -> str:
 
 
 def digest(text: str) -> int:
-    b = text.encode("utf-8", "replace")
-    return zlib.crc32(b) << 31 | zlib.crc32(b, 1) >> 1
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 def main_text(page: str | None, reference: str | None, constant: frozenset, linked: frozenset) -> str:
     root = parse(page)
-    to = alignment(shape(root), reference or "html")
+    to = alignment(written(shape(root)), reference or "html")
     found = list(blocks(root))
-    framed = any(inside(n, "article") or inside(n, "main") for _, n, _, _ in found if not n.skipped)
+    framed = any(n.framed for _, n, _, _ in found if not n.skipped)
     kept = []
     for at, n, text, _ in found:
-        if n.skipped or (framed and not (inside(n, "article") or inside(n, "main"))):
+        if n.skipped or (framed and not n.framed):
             continue
         node = to[at]
         if (node, digest(text)) in constant or (node in linked and not framed):
@@ -284,19 +343,19 @@ def induce(pages: DataFrame, scratch: Scratch, least: int = 5, share: float = 0.
             rows = []
             for host, key, page, ref in zip(b["host"], b["page"], b["html"], b["reference"], strict=True):
                 root = parse(page)
-                to = alignment(shape(root), ref)
+                to = alignment(written(shape(root)), ref or "html")
                 rows += [(host, key, to[at], digest(text), len(text), linked) for at, n, text, linked in blocks(root) if not n.skipped]
             yield pd.DataFrame(rows, columns=["host", "page", "node", "text", "chars", "linked"])
 
     source = with_host(pages, references).select("host", page_column().alias("page"), "html", "reference")
-    seen = source.mapInPandas(slots, "host string, page long, node string, text long, chars long, linked long")
+    seen = source.mapInPandas(slots, "host string, page long, node long, text long, chars long, linked long")
     # Copies of a page and a text twice in one page count once.
     per_page = seen.groupBy("host", "node", "text", "page").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
     per_text = per_page.groupBy("host", "node", "text").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
     per_text = scratch.save(per_text)
     many = distinct.where(F.col("all") >= least)
     constant = per_text.where(F.col("pages") >= least).join(many, "host").where(F.col("pages") >= share * F.col("all"))
-    constant = constant.groupBy("host").agg(F.array_sort(F.collect_set(F.concat_ws("\t", "node", F.col("text").cast("string")))).alias("constant"))
+    constant = constant.groupBy("host").agg(F.array_sort(F.collect_set(F.concat_ws("\t", F.col("node").cast("string"), F.col("text").cast("string")))).alias("constant"))
     linked = per_text.groupBy("host", "node").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked")).where(F.col("linked") > link_share * F.col("chars"))
     linked = linked.groupBy("host").agg(F.array_sort(F.collect_set("node")).alias("linked"))
     return scratch.save(references.select("host", "reference").join(constant, "host", "left").join(linked, "host", "left"))
@@ -323,7 +382,7 @@ def extract(pages: DataFrame, least: int = 5, share: float = 0.8) -> DataFrame:
 
 @lru_cache(2000)
 def sets(constant: tuple, linked: tuple) -> tuple[frozenset, frozenset]:
-    return frozenset((n, int(h)) for n, _, h in (c.rpartition("\t") for c in constant)), frozenset(linked)
+    return frozenset((int(n), int(h)) for n, _, h in (c.rpartition("\t") for c in constant)), frozenset(linked)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -184,6 +184,20 @@ def test_wrapper_of_a_host_made_of_copies(spark):
     assert all(got[i] == ("" if i % 5 else f"Other {i} ") + f"Title {i * 17} Own text {i * 17}" for i in range(500))
 
 
+def test_deeply_nested_pages(spark):
+    """Thousands of open blocks, with texts all the way down, as reference of a host and as its odd page."""
+    deep = "".join(f"<{('div', 'center')[i % 2]}>t{i} " for i in range(6000))
+    rows = [(i, f"http://a/{i}", deep + str(i)) for i in range(6)] + [(6, "http://a/6", "<p>plain"), (7, "http://b/0", "<p>plain")]
+    rows += [(8 + i, f"http://b/{i}", f"<p>own {i}") for i in range(2)] + [(10, "http://b/9", "<div>" * 20_000 + "far down")]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "t5999 3"  # six of seven pages of the host share the texts above it
+    assert got[6] == got[7] == "plain" and got[8] == "own 0" and got[10] == "far down"
+    tree = html_extract.parse("<div><p>a</p><p>b</p><ul><li>c</li></ul></div><div><p>d</p><ul><li>e</ul></div><h1>f</h1>")
+    text = html_extract.written(html_extract.shape(tree))
+    assert text == "html(div(p,ul(li)),h1)" == html_extract.written(html_extract.read_shape(text))
+    assert [(at, t) for at, _, t, _ in html_extract.blocks(tree)] == [(2, "a"), (2, "b"), (4, "c"), (2, "d"), (4, "e"), (5, "f")]
+
+
 def test_simple_tree_matching():
     a, b = html_extract.read_shape("d(a,b(x),c)"), html_extract.read_shape("d(a,e,b(x,y))")
     assert html_extract.match(a, b, {})[0] == 4
