@@ -23,8 +23,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from genoframe.llm.common import WORD, Scratch, components, join_hot, table
 
@@ -143,9 +144,8 @@ def links_within(left: list[np.ndarray], right: list[np.ndarray] | None, thresho
     return (n_l + n_r if same else n_l), n_r, forest
 
 
-def jaccard_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, block: int = 300_000) -> DataFrame:
-    """doc_id, text_id, class_id, n_links: a row a document. ``block``: shingles a block may hold, about."""
-    scratch = Scratch(docs.sparkSession)
+def text_groups(docs: DataFrame, scratch: Scratch, n: int, threshold: float, recall: float = 0.9995, block: int = 300_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signatures, the classes, and of each class key, text_id, root (least key of its group) and n_links."""
     bands, rows = banding(threshold, recall)
     signed = scratch.save(signatures(docs, n, bands, rows))
     classes = scratch.save(signed.where("grams > 0").groupBy("key").agg(F.min("doc_id").alias("text_id"), F.first("grams").alias("grams"), F.first("bands").alias("bands"), F.count("*").alias("copies")))
@@ -202,7 +202,13 @@ def jaccard_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     groups = components(found.where("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b")), scratch)
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     named = classes.select("key", "text_id").join(groups, F.col("key") == F.col("node"), "left").join(links, "key", "left").select("key", "text_id", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    named = scratch.save(named)
+    return signed, classes, scratch.save(named)
+
+
+def jaccard_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9995, block: int = 300_000) -> DataFrame:
+    """doc_id, text_id, class_id, n_links: a row a document. ``block``: shingles a block may hold, about."""
+    scratch = Scratch(docs.sparkSession)
+    signed, classes, named = text_groups(docs, scratch, n, threshold, recall, block)
     least = named.groupBy("root").agg(F.min("text_id").alias("class_id"))
     copies = classes.select("key", F.col("copies").alias("uses"))
     named = scratch.save(named.join(least, "root").join(copies, "key").select("key", "text_id", "class_id", "n_links", "uses"))
@@ -212,13 +218,21 @@ def jaccard_groups(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
 
 
 def keep_first(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """One document of each group: the one with the least doc_id. Columns as in ``docs``."""
-    rows = docs.withColumn("_t", F.coalesce("text", F.lit("")))
-    best = jaccard_groups(docs, n, threshold).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = rows.join(best, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    # A doc_id that occurs more than once keeps one row; partitions are as small as ids are repeated.
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("_t"))
-    return kept.withColumn("_n", first).where("_n = 1").select(*docs.columns)
+    """One document of each group: the one with the least doc_id, then the least MD5. Columns as in ``docs``.
+
+    Rows are known by doc_id and MD5 of the text, so groups whose ids are null or occur in other groups stay too. Of
+    rows equal in both one stays. A text without words is a group by itself, and stays.
+    """
+    scratch = Scratch(docs.sparkSession)
+    named = text_groups(docs, scratch, n, threshold)[2]
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("text_id").isNull().alias("none"), "text_id", "key")).alias("b"))
+    best = scratch.save(best.select(F.col("b.text_id").alias("id"), F.col("b.key").alias("md5")))
+    some = F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"), some.alias("some"))
+    kept = rows.where("some").join(best, (F.col("key") == F.col("md5")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    plain = [F.col("row")[f.name] for f in docs.schema if isinstance(f.dataType, AtomicType)]
+    one = kept.groupBy("doc_id", "key").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
+    return one.select("row.*").unionByName(rows.where("NOT some").select("row.*"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

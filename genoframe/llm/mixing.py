@@ -16,8 +16,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from genoframe.llm.common import WORD, Scratch, join_small
 
@@ -44,8 +45,17 @@ def targets(sources: DataFrame, weights: Sequence[float], most: int) -> DataFram
     return filled.select("skey", "source_size", F.least("cap", F.col("weight") * F.col("level")).alias("target"))
 
 
-def mix_plan(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: int = 3) -> DataFrame:
-    """doc_id, size, source_size, target and ``taken``, the words that the mix takes of each document."""
+def row_hash(docs: DataFrame) -> Column:
+    """Equal for rows that are copies in all columns but nested ones."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if isinstance(f.dataType, AtomicType)])
+
+
+def mix_plan(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: int = 3, by_row: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target and ``taken``, the words that the mix takes of each document.
+
+    ``by_row`` adds ``h``, the hash of the row, which orders rows of equal doc_id and size.
+    """
+    h = ["h"] if by_row else []
     scratch = Scratch(docs.sparkSession)
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
     sized = scratch.save(
@@ -55,6 +65,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most:
             F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("skey"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             order.alias("k"),
+            *[row_hash(docs).alias(c) for c in h],
         )
     )
     count, budget = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -67,11 +78,11 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most:
     sources = scratch.save(targets(by_bucket.groupBy("skey", "source").agg(F.sum("in_bucket").alias("source_size")), weights, most))
     offsets = join_small(offsets.select("skey", "bucket", "before"), sources, "skey", "inner")
 
-    inside = Window.partitionBy("skey", "bucket").orderBy("k", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("skey", "bucket").orderBy("k", "size", *h).rowsBetween(Window.unboundedPreceding, 0)
     queued = scratch.save(
         sized.join(offsets, ["skey", "bucket"])
         .withColumn("end", F.col("before") + F.sum("size").over(inside))
-        .select("doc_id", "k", "size", "source_size", "target", "end")
+        .select("doc_id", "k", "size", "source_size", "target", "end", *h)
     )
 
     # A pass of a document competes if it starts before its source has met its target: those passes hold the budget.
@@ -100,14 +111,20 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most:
             up_to = F.lit(False) if last is None else F.struct(finish.alias("finish"), F.col("k"), F.col("size"), F.lit(turn).alias("turn")) <= F.struct(F.lit(last[0]), F.lit(last[1]), F.lit(last[2]).cast("long"), F.lit(last[3]))
             runs = runs & ((slot < full[0]) | ((slot == full[0]) & up_to))
         taken = taken + F.when(runs & (F.col("size") > 0) & (F.col("target") > 0), F.col("size")).otherwise(0)
-    return queued.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"))
+    return queued.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"), *h)
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: int = 3) -> DataFrame:
     """The mixed documents themselves, with the columns of ``docs``: each row as often as the mix takes it."""
-    plan = mix_plan(docs, weights, most).where("taken > 0").select(F.col("doc_id").alias("_id"), F.expr("cast(taken div size as int)").alias("_times"))
-    times = plan.groupBy("_id").agg(F.max("_times").alias("_times"))
-    return docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    plan = mix_plan(docs, weights, most, by_row=True)
+    times = plan.groupBy(F.col("doc_id").alias("_id"), "h").agg(F.sum(F.try_divide("taken", "size")).cast("int").alias("times"), F.count("*").alias("copies"))
+    times = Scratch(docs.sparkSession).save(times.where("times > 0"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", row_hash(docs).alias("rh"))
+    found = rows.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rh") == F.col("h")))
+    if times.where("copies > 1").limit(1).count():  # copies are taken together: one of them stands for all
+        whole = found.where("copies > 1").groupBy("_id", "h").agg(F.first("row").alias("row"), F.first("times").alias("times"))
+        found = found.where("copies = 1").select("row", "times").unionByName(whole.select("row", "times"))
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -126,6 +126,25 @@ def test_join_against_brute_force(spark, small):
         assert got == {i: (group[first[t]], links[first[t]]) for i, t in texts.items()}
 
 
+def test_null_and_repeated_ids(spark):
+    """No group is lost and no source overshoots when ids are null or repeated."""
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    rows = [(None, text(i), "en", "a", i) for i in range(5)] + [(7, text(i), "en", "b", i) for i in range(5, 9)]
+    rows += [(None, text(1), "en", "c", 1), (8, text(2) + " more", "en", "c", 2), (7, text(5), "en", "b", 5), (1, "", "en", "a", 0), (1, None, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    got = jaccard_join.keep_first(docs).collect()
+    texts = [text(i) for i in range(9) if i != 2] + [text(2) + " more"]
+    assert sorted(r["text"] for r in got if r["text"]) == sorted(texts)
+    assert sorted(r["doc_id"] for r in got if r["doc_id"]) == [1, 1, 7, 7, 7, 7, 8]
+    words = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    rows = [([None, 3][i % 2], words(i, 10 + i % 7), "en", "abc"[i % 3], i) for i in range(60)] + [(3, words(99, 12), "en", "a", 99)] * 4
+    docs = spark.createDataFrame(rows, docs.schema)
+    plan, mixed = mixing.mix_plan(docs).collect(), mixing.mix(docs).collect()
+    assert len(mixed) == sum(r["taken"] // r["size"] for r in plan)
+    assert sum(len(r["text"].split()) for r in mixed) == sum(r["taken"] for r in plan)
+    assert max(len(list(g)) for _, g in itertools.groupby(sorted(r["n_chars"] for r in mixed if r["n_chars"] < 99))) <= 3
+
+
 def test_banding_recall():
     bands, rows = jaccard_join.banding(0.8, 0.9995)
     assert bands * rows <= 128 and 1 - (1 - 0.8**rows) ** bands >= 0.9995
