@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import gzip
+import io
 import struct
 from collections.abc import Iterator
+from itertools import batched
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,23 +19,15 @@ READS = "cell string, chrom string, start bigint, end bigint, mapq int, flag int
 
 
 def chrom_sizes(spark: SparkSession, fasta: str) -> DataFrame:
-    """chrom, length of a FASTA file: lengths of lines are summed by the header above them.
+    """chrom, length of a FASTA file: each sequence is a row of text, from one header to the next.
 
-    A line's header is the last one before it in its file; the running maximum of header offsets finds it, over one
-    file's line lengths (texts of lines are not shuffled).
+    Files may be of any size; a single sequence has to stay well under 2 GiB, the limit of a value.
     """
-
-    def lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for content in b["content"]:
-                rows, name = [], None
-                for part in bytes(content).split(b">")[1:]:
-                    head, _, body = part.partition(b"\n")
-                    name = head.split()[0].decode()
-                    rows.append((name, len(body) - body.count(b"\n") - body.count(b"\r")))
-                yield pd.DataFrame(rows, columns=["chrom", "length"])
-
-    return spark.read.format("binaryFile").load(fasta).select("content").mapInPandas(lengths, "chrom string, length bigint")
+    rows = spark.read.text(fasta, lineSep="\n>")
+    head = F.rtrim(F.substring_index("value", "\n", 1), F.lit("\r"))
+    letters = F.replace(F.replace("value", F.lit("\n")), F.lit("\r"))
+    named = rows.select(F.regexp_extract(head, r"^>?\s*(\S+)", 1).alias("chrom"), (F.octet_length(letters) - F.octet_length(F.replace(head, F.lit("\r")))).cast("bigint").alias("length"))
+    return named.where("chrom <> ''")
 
 
 def gc_table(spark: SparkSession, path: str) -> DataFrame:
@@ -76,36 +71,37 @@ def coverage(spark: SparkSession, path: str) -> DataFrame:
     return typed.unpivot(["chrom", "start", "end"], cells, "cell", "n")
 
 
-def parse_bam(data: bytes) -> list[tuple]:
-    """(chrom, start, end, mapq, flag, query_length) of each record of a BAM file."""
-    raw = gzip.decompress(data)
-    (text,) = struct.unpack_from("<i", raw, 4)
-    at = 8 + text
-    (refs,) = struct.unpack_from("<i", raw, at)
-    at, names = at + 4, []
-    for _ in range(refs):
-        (n,) = struct.unpack_from("<i", raw, at)
-        names.append(raw[at + 4 : at + 3 + n].decode())
-        at += 8 + n
-    rows = []
-    while at + 4 <= len(raw):
-        size, ref, pos, name, mapq, _, ops, flag, length = struct.unpack_from("<iiiBBHHHi", raw, at)
-        cigar = struct.unpack_from(f"<{ops}I", raw, at + 36 + name)
+def parse_bam(file: BinaryIO) -> Iterator[tuple]:
+    """(chrom, start, end, mapq, flag, query_length) of each record of a BAM file, unpacked piece by piece."""
+    raw = io.BufferedReader(gzip.GzipFile(fileobj=file), 1 << 20)
+    number = lambda: struct.unpack("<i", raw.read(4))[0]
+    raw.read(4)
+    raw.read(number())
+    names = []
+    for _ in range(number()):
+        names.append(raw.read(number())[:-1].decode())
+        raw.read(4)
+    while len(head := raw.read(4)) == 4:
+        record = raw.read(*struct.unpack("<i", head))
+        ref, pos, name, mapq, _, ops, flag, length = struct.unpack_from("<iiBBHHHi", record)
+        cigar = struct.unpack_from(f"<{ops}I", record, 32 + name)
         spans = sum(c >> 4 for c in cigar if c & 15 in (0, 2, 3, 7, 8)) or 1
-        rows.append((names[ref] if ref >= 0 else None, pos, pos + spans, mapq, flag, length))
-        at += 4 + size
-    return rows
+        yield names[ref] if ref >= 0 else None, pos, pos + spans, mapq, flag, length
 
 
 def bam_reads(spark: SparkSession, *paths: str, pattern: str = "*.bam") -> DataFrame:
-    """Reads of all BAM files in folders or of single files; one file is one task's work, as one file is one cell."""
+    """Reads of all BAM files in folders or of single files; one file is one task's work, as one file is one cell.
+
+    A task holds one packed file and 50,000 of its reads. A file has to stay under 2 GiB, the limit of a value.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for cell, content in zip(b["cell"], b["content"], strict=True):
-                out = pd.DataFrame(parse_bam(bytes(content)), columns=["chrom", "start", "end", "mapq", "flag", "query_length"])
-                out.insert(0, "cell", cell)
-                yield out
+                for reads in batched(parse_bam(io.BytesIO(content)), 50_000):
+                    out = pd.DataFrame(reads, columns=["chrom", "start", "end", "mapq", "flag", "query_length"])
+                    out.insert(0, "cell", cell)
+                    yield out
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(list(paths))
     named = files.select(sample_name(F.col("path")).alias("cell"), "content", "path").where("cell <> 'all'")

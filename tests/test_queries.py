@@ -119,6 +119,32 @@ def test_bam_reader(spark, tmp_path):
     assert [tuple(r) for r in bam_reads(spark, str(tmp_path)).orderBy("start").collect()] == [("cellA", "chr1", 10, 15, 60, 65, 5), ("cellA", "chr1", 20, 25, 60, 65, 5)]
 
 
+def test_bam_in_pieces():
+    """Reads come before the file has been unpacked: what follows the first megabytes may even be broken."""
+    import gzip
+    import io
+    import random
+    import struct
+
+    from genoframe.sources.files import parse_bam
+
+    body = b"".join(struct.pack("<iiiBBHHHiiii", 32 + 2 + 4, -1, p, 2, 60, 0, 1, 65, 5, -1, -1, 0) + b"q\0" + struct.pack("<I", 5 << 4) for p in range(60_000))
+    raw = b"BAM\1" + struct.pack("<ii", 0, 0) + body
+    reads = parse_bam(io.BytesIO(gzip.compress(raw) + gzip.compress(random.Random(1).randbytes(2_000_000))[:-9]))
+    assert next(reads) == (None, 0, 5, 60, 65, 5) and next(reads)[1] == 1
+    assert [r[1] for r in parse_bam(io.BytesIO(gzip.compress(raw)))] == list(range(60_000))
+
+
+def test_chrom_sizes(spark, tmp_path):
+    """A row a sequence; line ends of both kinds, empty sequences, and a header with a > in it."""
+    from genoframe.sources.files import chrom_sizes
+
+    (tmp_path / "a.fa").write_bytes(b">chr1 first\nACGT\nAC\n>chr2 5->3\r\nACG\r\nA\r\n>chr3\n>chr4\n" + b"ACGTACGTAC\n" * 50_000)
+    sizes = chrom_sizes(spark, str(tmp_path / "a.fa"))
+    assert dict(map(tuple, sizes.collect())) == {"chr1": 6, "chr2": 4, "chr3": 0, "chr4": 500_000}
+    assert sizes.schema.simpleString() == "struct<chrom:string,length:bigint>"
+
+
 def test_streamed_counts(spark, tmp_path):
     from genoframe.streaming.counts import count_stream
 
