@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from genoframe.session import Scratch  # noqa: F401
 
@@ -15,6 +20,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_texts(df: DataFrame, inputs: list[str | Column], make: Callable, schema: str, keep: list[str] = ()) -> DataFrame:
+    """``keep`` columns of ``df`` and those of ``schema``, which ``make`` fills for a batch of rows.
+
+    ``make`` gets a list of values for each of ``inputs`` and returns a list for each new column; one that returns a
+    list of row numbers first makes any number of rows out of a row. Kept columns never leave Arrow: ids stay what
+    they are, whatever their type and beside nulls.
+    """
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.struct(*[F.col(c) if isinstance(c, str) else c for c in inputs]).alias("in"))
+    new = StructType.fromDDL(schema)
+    types, width = to_arrow_schema(new).types, len(new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = make(*[x.to_pylist() for x in b.columns[-1].flatten()])
+            kept = list(b.columns[:-1])
+            if len(made) > width:
+                rows = pa.array(made[0], pa.int64())
+                kept, made = [x.take(rows) for x in kept], made[1:]
+            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(x, t) for x, t in zip(made, types, strict=True)]], names=[*keep, *new.names])
+
+    return source.mapInArrow(run, StructType([*[df.schema[c] for c in keep], *new.fields]))
+
+
 def join_small(left: DataFrame, right: DataFrame, on, how: str, limit: int = 1_000_000) -> DataFrame:
     """Join with a table that is usually small: broadcast below ``limit`` rows (counted), shuffled from there on.
 

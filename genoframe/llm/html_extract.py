@@ -3,22 +3,32 @@
 Every page becomes a tree of block elements, in which runs of siblings with equal shape are one node (a list of any
 length, an article of any number of paragraphs). For each host the most frequent tree is the reference; the trees of
 its pages are aligned with it by simple tree matching (the dynamic program that finds the largest set of matched
-nodes in order). What stands at an aligned node is compared over all pages of the host: a text that a large share of
-pages have at the same node is template, and so is a node of mostly links. Nodes whose text varies are slots: content.
-Elements whose tag or class names them as navigation, advert, form, comment and the like are never content, and where
-a page has an article or main element, content is what lies in it.
+nodes in order). What stands at an aligned node is compared over all pages of the host. Constant is, and so template:
 
-Pages are parsed twice and never grouped; what is shuffled are (host, tree) and (host, node, hash of a text) counts,
-which are summed before the shuffle, so a host with a third of all pages is no load for one task; distinct pages are
-counted exactly, from (host, node, hash of a text, digest of a page). The wrappers, one row a host, are joined to the
-pages by broadcast up to a checked number of rows and by shuffle beyond.
+* a text that ``share`` of the host's distinct pages have at one node (``constant``);
+* a node whose texts are mostly links (``linked``);
+* a node outside the host's data region if its texts recur on other pages, begin with the same two words, or are
+  next to nothing beside the region (``outside``). The data region is the deepest container that holds nearly all of
+  the host's varying text; the node that repeats the pages' titles is their headline and no template. A page with more
+  text at such nodes than in the region is not what the wrapper describes, and keeps them.
+
+Varying slots are content. Tags and classes only settle what the wrapper leaves open, or all where a host has too few
+pages for one: elements that are named as navigation, advert, form, comment and the like go, and where a page has an
+article or main element, content is what lies in it.
+
+What is shuffled are (host, tree) and (host, node, hash of a text) counts, summed before the shuffle, so a host with a
+third of all pages is no load for one task; distinct pages are counted exactly, from (host, node, hash of a text,
+digest of a page). A wrapper is a row a host and of about a page's size: its texts are on ``share`` of the pages, its
+nodes in the reference or on a hundredth of the pages. Wrappers are joined to the pages by broadcast while their rows
+and bytes are under a checked bound, and by shuffle beyond.
 
 Defined cases: null and empty html gives an empty text; pages without a usable host share the host ""; hosts with
-fewer than ``least`` pages have no constant texts; equal pages: a page's text is only template if pages that are not
+fewer than ``least`` distinct pages have no wrapper; equal pages: a page's text is only template if pages that are not
 copies of each other have it, so copies count once, among the pages that have a text as among all of the host;
-repeated rows get equal results; broken markup is read as far as
-it goes, and open elements end where the page or their parent ends; an empty table gives none; other columns are
-ignored.
+repeated rows get equal results; ties between trees go to the greater text of the tree; broken markup is read as far
+as it goes, and open elements end where the page or their parent ends; very long and deep pages take time in
+proportion to their length; ids of any type come back as they are; an empty table gives none; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,11 +41,10 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 from hashlib import blake2b
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genoframe.llm.common import Scratch, table
+from genoframe.llm.common import Scratch, map_texts, table
 
 # HTML's element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,13 +52,17 @@ RAW = frozenset("script style textarea title noscript template iframe svg math o
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SKIPPED = frozenset("nav footer aside form script style noscript template iframe svg math object button select option textarea input dialog menu head title".split())
-# Words of class and id attributes that name what is no main text.
+# Words of class and id attributes that name what is no main text, and words that go with them.
 NAMES = frozenset(
     "ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay comment comments disqus reply replies respond share sharing social related recommended newsletter subscribe "
+    "cookie cookies consent gdpr notice notices alert popup modal overlay share sharing social related recommended newsletter subscribe "
     "subscription signup login widget toolbar pagination pager skip search".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</([a-zA-Z][^\s>/]*)[^>]*>|<([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+BESIDE = frozenset("site page main top bottom left right global primary secondary box bar block wrapper wrap container list links inner outer area section panel form buttons items js mobile desktop".split())
+READERS = frozenset("comment comments disqus reply replies respond".split())
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>|</([a-zA-Z][^\s<>/]*)[^<>]*>|<([a-zA-Z][^\s<>/]*)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>|([^<]+|<)", re.S
+)
 ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME = re.compile(r"[a-z]+|[0-9]+")
 
@@ -67,11 +80,12 @@ class Shape:
 class Node:
     tag: str
     names: str = ""
-    skipped: bool = False
+    skipped: bool = False  # named as no main text, or in such an element
     parent: Node | None = None
     children: list = field(default_factory=list)  # nodes and (text, whether in a link)
     framed: bool = False  # in an article or main element, or one itself
     shape: Shape | None = None
+    title: str = ""  # the page's, at the root
 
 
 def parse(page: str | None) -> Node:
@@ -89,6 +103,8 @@ def parse(page: str | None) -> Node:
             if tag in RAW:
                 low = low or page.lower()
                 stop = low.find(f"</{tag}", pos)
+                if tag == "title" and not root.title:
+                    root.title = flat(page[pos : len(page) if stop < 0 else stop])
                 pos = len(page) if stop < 0 else max(pos, (page.find(">", stop) + 1) or len(page))
                 continue
             if tag == "br" or tag == "hr":
@@ -104,8 +120,7 @@ def parse(page: str | None) -> Node:
             names = ""
             if attrs:
                 names = " ".join(x for a in ATTR.findall(attrs) for x in NAME.findall((a[1] or a[2] or a[3]).lower()))
-            words = set(names.split())
-            skipped = tag in SKIPPED or bool(words & NAMES) and not (tag in ("main", "article") and not words & {"comment", "comments"}) or (tag == "header" and not inside(at, "article"))
+            skipped = tag in SKIPPED or bool(attrs and named(attrs, tag)) or (tag == "header" and not at.framed)
             node = Node(tag, names, skipped or at.skipped, at, framed=at.framed or tag in ("article", "main"))
             at.children.append(node)
             if not attrs.rstrip().endswith("/"):
@@ -124,6 +139,27 @@ def parse(page: str | None) -> Node:
     return root
 
 
+def flat(text: str) -> str:
+    """Character references decoded, runs of white space as one space, trimmed."""
+    return " ".join(html.unescape(text).split())
+
+
+def named(attrs: str, tag: str) -> bool:
+    """Whether a class, id or role names what is no main text: all its words do, but for those that go with them.
+
+    So ``site-header`` does, ``post-header`` and ``search-term`` do not. Readers' comments vary as content does, and
+    are known by a single word.
+    """
+    for a in ATTR.findall(attrs):
+        for value in (a[1] or a[2] or a[3]).lower().split():
+            words = [w for w in NAME.findall(value) if w.isalpha()]
+            if not READERS.isdisjoint(words):
+                return True
+            if tag not in ("main", "article") and not NAMES.isdisjoint(words) and all(w in NAMES or w in BESIDE for w in words):
+                return True
+    return False
+
+
 def up_to(at: Node, tag: str, walls: frozenset) -> Node:
     """Above the nearest open ``tag``, unless a wall stands between; else where we are."""
     up = at
@@ -134,12 +170,6 @@ def up_to(at: Node, tag: str, walls: frozenset) -> Node:
     return at if up is None or up.parent is None else up.parent
 
 
-def inside(at: Node | None, tag: str) -> bool:
-    while at is not None and at.tag != tag:
-        at = at.parent
-    return at is not None
-
-
 # --- Trees and their matching ----------------------------------------------------------------------------------
 
 
@@ -243,26 +273,44 @@ def matched_children(a: Shape, b: Shape, memo: dict) -> tuple[int, tuple]:
     return 1 + rows[-1][-1], tuple(reversed(pairs))
 
 
-@lru_cache(20_000)
 def alignment(page: str, reference: str) -> array:
-    """Numbers of the nodes of a written tree, in its order: those of partners in the reference, or own ones.
-
-    A number is the digest of the path of labels and of positions in the reference, so of one length at any depth.
-    """
+    """Numbers of the nodes of a written tree, in its order: an aligned node has its partner's place in the reference,
+    others a negative digest of their path, so of one length at any depth."""
     a, ref, memo, out = read_shape(page), read_shape(reference), {}, array("q")
-    todo = [(a, ref if ref.label == a.label else None, digest(a.label))]
+    todo = [(a, ref if ref.label == a.label else None, 0 if ref.label == a.label else below_zero(a.label))]
     while todo:
         a, b, name = todo.pop()
         out.append(name)
         partner = dict(match(a, b, memo)[1]) if b is not None else {}
+        places = [name + 1] if b is not None else []
+        for c in b.children if b is not None else ():
+            places.append(places[-1] + c.size)
         below = []
         for i, child in enumerate(a.children):
             j = partner.get(i)
-            below.append((child, None if j is None else b.children[j], digest(f"{name}/{child.label}" + (f"[{j}]" if j is not None else "+"))))
+            below.append((child, None, below_zero(f"{name}/{child.label}")) if j is None else (child, b.children[j], places[j]))
         todo += reversed(below)
     return out
 
 
+def below_zero(text: str) -> int:
+    return -1 - (digest(text) & 0x7FFFFFFFFFFFFFFF)
+
+
+_aligned: dict[tuple[str, str], array] = {}
+
+
+def aligned(page: str, reference: str) -> array:
+    """``alignment``, remembered for trees of usual size; all is forgotten at a bound."""
+    if len(page) > 4000:
+        return alignment(page, reference)
+    if (page, reference) not in _aligned:
+        if len(_aligned) >= 5000:
+            _aligned.clear()
+        _aligned[page, reference] = alignment(page, reference)
+    return _aligned[page, reference]
+
+
 def blocks(root: Node) -> Iterator[tuple[int, Node, str, int]]:
     """(place in the written shape, block, its text, characters in links) in page order, once ``shape`` has run."""
     text, linked = [], 0
@@ -276,8 +324,8 @@ def blocks(root: Node) -> Iterator[tuple[int, Node, str, int]]:
                 linked += len(c[0]) * c[1]
                 continue
             if text:
-                if flat := " ".join(html.unescape("".join(text)).split()):
-                    yield at, n, flat, linked
+                if block := flat("".join(text)):
+                    yield at, n, block, linked
                 text, linked = [], 0
             if c is None:
                 todo.pop()
@@ -289,29 +337,75 @@ def blocks(root: Node) -> Iterator[tuple[int, Node, str, int]]:
             break
 
 
-def host_of(url: str | None) -> str:
-    m = re.match(r"\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return m[1].lower() if m else ""
-
-
 def digest(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def main_text(page: str | None, reference: str | None, constant: frozenset, linked: frozenset) -> str:
+@dataclass(frozen=True)
+class Wrapper:
+    """What a host's pages have in common: see ``induce``."""
+
+    reference: str
+    constant: frozenset  # (node, digest of a text)
+    linked: frozenset  # nodes
+    outside: frozenset  # nodes
+    first: int  # the data region: places in the reference from first to last
+    last: int
+
+
+def main_text(page: str | None, w: Wrapper | None) -> tuple[str, int]:
+    """The main text of a page, and the number of blocks that the wrapper took out."""
     root = parse(page)
-    to = alignment(written(shape(root)), reference or "html")
+    tree = written(shape(root))
     found = list(blocks(root))
-    framed = any(n.framed for _, n, _, _ in found if not n.skipped)
-    kept = []
-    for at, n, text, _ in found:
-        if n.skipped or (framed and not n.framed):
-            continue
-        node = to[at]
-        if (node, digest(text)) in constant or (node in linked and not framed):
+    template = [False] * len(found)
+    if w is not None:
+        to = aligned(tree, w.reference)
+        nodes = [to[at] for at, _, _, _ in found]
+        template = [v in w.linked or (v, digest(text)) in w.constant for v, (_, _, text, _) in zip(nodes, found, strict=True)]
+        rest = [(v, len(text)) for v, gone, (_, _, text, _) in zip(nodes, template, found, strict=True) if not gone]
+        if sum(n for v, n in rest if w.first <= v <= w.last) >= sum(n for v, n in rest if v in w.outside):
+            template = [gone or v in w.outside for v, gone in zip(nodes, template, strict=True)]
+    left = [(n, text) for gone, (_, n, text, _) in zip(template, found, strict=True) if not gone and not n.skipped]
+    framed = any(n.framed for n, _ in left)
+    return " ".join(text for n, text in left if n.framed or not framed), sum(template)
+
+
+def region(reference: str, mass: dict[int, int], total: int, most: float = 0.85) -> tuple[int, int]:
+    """(first, last) place of the deepest container in a written tree that holds ``most`` of the total mass."""
+    at, place = read_shape(reference), 0
+    sums = [0]
+    for i in range(at.size):
+        sums.append(sums[-1] + mass.get(i, 0))
+    while True:
+        child_place = place + 1
+        for c in at.children:
+            if c.children and sums[child_place + c.size] - sums[child_place] >= most * total > 0:
+                at, place = c, child_place
+                break
+            child_place += c.size
+        else:
+            return place, place + at.size - 1
+
+
+def outside_nodes(reference: str, stats: list[tuple], total: int) -> tuple[int, int, list[int]]:
+    """The data region of a host and the nodes outside it that are template.
+
+    ``stats``: (node, chars, times, again, lead, titled) of the reference's nodes over their varying, unlinked texts:
+    characters, pages with a text, those whose text is on another page too, those that begin with the node's most
+    common two words, those whose text is the page's title.
+    """
+    first, last = region(reference, {s[0]: s[1] for s in stats}, total)
+    if first == 0:
+        return first, last, []
+    held = sum(s[1] for s in stats if first <= s[0] <= last)
+    out = []
+    for node, chars, times, again, lead, titled in stats:
+        if first <= node <= last or 2 * titled > times:
             continue
-        kept.append(text)
-    return " ".join(kept)
+        if 10 * again >= times or 10 * lead >= 8 * times or 20 * chars < held:
+            out.append(node)
+    return first, last, out
 
 
 # --- Spark -----------------------------------------------------------------------------------------------------
@@ -327,63 +421,79 @@ def page_column() -> Column:
 
 
 def induce(pages: DataFrame, scratch: Scratch, least: int = 5, share: float = 0.8, link_share: float = 0.6) -> DataFrame:
-    """The wrapper of each host: host, reference, constant ("node\\thash" of template texts), linked (nodes of links)."""
-
-    def trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"host": [host_of(u) for u in b["url"]], "tree": [written(shape(parse(h))) for h in b["html"]]})
-
-    counted = pages.select("url", "html").mapInPandas(trees, "host string, tree string").groupBy("host", "tree").agg(F.count("*").alias("n"))
-    references = scratch.save(counted.groupBy("host").agg(F.max(F.struct("n", "tree"))["tree"].alias("reference")))
-    digests = pages.select(host_column().alias("host"), page_column().alias("page")).distinct()
-    distinct = digests.groupBy("host").agg(F.count("*").alias("all"))
-
-    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for host, key, page, ref in zip(b["host"], b["page"], b["html"], b["reference"], strict=True):
-                root = parse(page)
-                to = alignment(written(shape(root)), ref or "html")
-                rows += [(host, key, to[at], digest(text), len(text), linked) for at, n, text, linked in blocks(root) if not n.skipped]
-            yield pd.DataFrame(rows, columns=["host", "page", "node", "text", "chars", "linked"])
-
-    source = with_host(pages, references).select("host", page_column().alias("page"), "html", "reference")
-    seen = source.mapInPandas(slots, "host string, page long, node long, text long, chars long, linked long")
-    # Copies of a page and a text twice in one page count once.
-    per_page = seen.groupBy("host", "node", "text", "page").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-    per_text = per_page.groupBy("host", "node", "text").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
-    per_text = scratch.save(per_text)
-    many = distinct.where(F.col("all") >= least)
-    constant = per_text.where(F.col("pages") >= least).join(many, "host").where(F.col("pages") >= share * F.col("all"))
-    constant = constant.groupBy("host").agg(F.array_sort(F.collect_set(F.concat_ws("\t", F.col("node").cast("string"), F.col("text").cast("string")))).alias("constant"))
-    linked = per_text.groupBy("host", "node").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked")).where(F.col("linked") > link_share * F.col("chars"))
-    linked = linked.groupBy("host").agg(F.array_sort(F.collect_set("node")).alias("linked"))
-    return scratch.save(references.select("host", "reference").join(constant, "host", "left").join(linked, "host", "left"))
+    """The wrapper of each host that has ``least`` distinct pages.
 
+    host, reference, constant ("node\\thash" of texts), linked and outside (nodes), first and last (the data region).
+    """
+    pages = pages.select(host_column().alias("host"), page_column().alias("page"), "html")
+    counted = map_texts(pages, ["html"], lambda hs: [[written(shape(parse(h))) for h in hs]], "tree string", ["host"]).groupBy("host", "tree").agg(F.count("*").alias("n"))
+    references = counted.groupBy("host").agg(F.max(F.struct("n", "tree"))["tree"].alias("reference"))
+    distinct = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("all"))
+    references = scratch.save(references.join(distinct.where(F.col("all") >= least), "host"))
+
+    def slots(pages: list, references: list) -> list[list]:
+        rows: list[tuple] = []
+        for row, (page, reference) in enumerate(zip(pages, references, strict=True)):
+            root = parse(page)
+            to = aligned(written(shape(root)), reference)
+            rows += [(row, to[at], digest(text), digest(" ".join(text.split(" ", 2)[:2])), len(text), linked, int(text == root.title)) for at, _, text, linked in blocks(root)]
+        return list(map(list, zip(*rows, strict=True))) if rows else [[]] * 7
+
+    source = with_host(pages, references, "inner")
+    seen = map_texts(source, ["html", "reference"], slots, "node long, text long, lead long, chars long, linked long, titled int", ["host", "page"])
+    # Copies of a page, and a text twice in one page, count once.
+    per_page = seen.groupBy("host", "node", "text", "page").agg(F.first("lead").alias("lead"), F.max("chars").alias("chars"), F.max("linked").alias("linked"), F.max("titled").alias("titled"))
+    per_text = per_page.groupBy("host", "node", "text").agg(F.first("lead").alias("lead"), F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.sum("titled").alias("titled"))
+    per_text = scratch.save(per_text)
 
-def with_host(pages: DataFrame, by_host: DataFrame) -> DataFrame:
-    """``pages`` with the columns of ``by_host``: broadcast while it has few rows (counted), shuffled beyond."""
-    small = by_host.limit(20_000).count() < 20_000
-    return pages.withColumn("host", host_column()).join(F.broadcast(by_host) if small else by_host, "host", "left")
+    all_pages = references.select("host", "all")
+    by_node = per_text.groupBy("host", "node").agg(F.sum("pages").alias("times"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    linked = scratch.save(by_node.where((F.col("linked") > link_share * F.col("chars")) & (F.col("times") >= least)).join(all_pages, "host").where(F.col("times") >= 0.01 * F.col("all")).select("host", "node"))
+    judged = scratch.save(per_text.where(F.col("pages") >= least).join(all_pages, "host").where(F.col("pages") >= share * F.col("all")).select("host", "node", "text"))
+    varying = per_text.join(judged, ["host", "node", "text"], "left_anti").join(linked, ["host", "node"], "left_anti")
+    by_lead = varying.groupBy("host", "node", "lead").agg(
+        F.sum("pages").alias("times"), F.sum(F.when(F.col("pages") > 1, F.col("pages")).otherwise(0)).alias("again"), F.sum(F.col("chars") - F.col("linked")).alias("chars"), F.sum("titled").alias("titled")
+    )
+    stats = by_lead.groupBy("host", "node").agg(F.sum("chars").alias("chars"), F.sum("times").alias("times"), F.sum("again").alias("again"), F.max("times").alias("lead"), F.sum("titled").alias("titled"))
+    # Nodes of the reference are as many as a page has; what others hold only counts in the total.
+    total = F.sum("chars").alias("total")
+    stats = stats.groupBy("host").agg(total, F.array_sort(F.collect_list(F.when(F.col("node") >= 0, F.struct("node", "chars", "times", "again", "lead", "titled")))).alias("stats"))
+
+    def decide(references: list, stats: list, totals: list) -> list[list]:
+        out = [outside_nodes(r, [tuple(x.values()) for x in s or []], t or 0) for r, s, t in zip(references, stats, totals, strict=True)]
+        return list(map(list, zip(*out, strict=True))) if out else [[]] * 3
+
+    constant = judged.groupBy("host").agg(F.array_sort(F.collect_set(F.concat_ws("\t", F.col("node").cast("string"), F.col("text").cast("string")))).alias("constant"))
+    links = linked.groupBy("host").agg(F.array_sort(F.collect_set("node")).alias("linked"))
+    wrappers = references.join(constant, "host", "left").join(links, "host", "left").join(stats, "host", "left")
+    return scratch.save(map_texts(wrappers, ["reference", "stats", "total"], decide, "first long, last long, outside array<bigint>", ["host", "reference", "constant", "linked"]))
+
+
+def with_host(pages: DataFrame, by_host: DataFrame, how: str, most_rows: int = 20_000, most_bytes: int = 32 << 20) -> DataFrame:
+    """``pages`` (host) with the columns of ``by_host``, which has been saved: broadcast while its rows and bytes, both
+    counted, are few, shuffled beyond."""
+    size = sum((F.coalesce(F.octet_length(f.name) if f.dataType.typeName() == "string" else 32 * F.size(f.name), F.lit(0)) for f in by_host.schema if f.dataType.typeName() in ("string", "array")), F.lit(0))
+    rows, width = by_host.agg(F.count("*"), F.sum(size.cast("long"))).first()
+    return pages.join(F.broadcast(by_host) if rows < most_rows and (width or 0) < most_bytes else by_host, "host", how)
 
 
 def extract(pages: DataFrame, least: int = 5, share: float = 0.8) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
+    """page_id, url, text, n_chars of every page, and n_template, the number of blocks that the wrapper took out."""
     wrappers = induce(pages, Scratch(pages.sparkSession), least, share)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [main_text(h, r, *sets(tuple(c) if c is not None else (), tuple(k) if k is not None else ())) for h, r, c, k in zip(b["html"], b["reference"], b["constant"], b["linked"], strict=True)]
-            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": out, "n_chars": list(map(len, out))})
+    def run(pages: list, references: list, *parts: list) -> list[list]:
+        out = [main_text(h, None if r is None else wrapper(r, *(tuple(x) if isinstance(x, list) else x for x in p))) for h, r, *p in zip(pages, references, *parts, strict=True)]
+        return [[t for t, _ in out], [len(t) for t, _ in out], [n for _, n in out]]
 
-    source = with_host(pages.select("page_id", "url", "html"), wrappers).select("page_id", "url", "html", "reference", "constant", "linked")
-    return source.mapInPandas(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    source = with_host(pages.select("page_id", "url", "html", host_column().alias("host")), wrappers, "left")
+    return map_texts(source, ["html", "reference", "constant", "linked", "outside", "first", "last"], run, "text string, n_chars long, n_template long", ["page_id", "url"])
 
 
-@lru_cache(2000)
-def sets(constant: tuple, linked: tuple) -> tuple[frozenset, frozenset]:
-    return frozenset((int(n), int(h)) for n, _, h in (c.rpartition("\t") for c in constant)), frozenset(linked)
+@lru_cache(500)
+def wrapper(reference: str, constant: tuple | None, linked: tuple | None, outside: tuple | None, first: int, last: int) -> Wrapper:
+    texts = frozenset((int(n), int(h)) for n, _, h in (c.rpartition("\t") for c in constant or ()))
+    return Wrapper(reference, texts, frozenset(linked or ()), frozenset(outside or ()), first, last)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages"))
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
