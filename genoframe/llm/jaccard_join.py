@@ -19,15 +19,13 @@ ignored by the join and passed through by ``keep_first``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-from genoframe.llm.common import WORD, Scratch, components, join_hot, table
+from genoframe.llm.common import WORD, Scratch, components, join_hot, map_texts, table
 
 PRIME = (1 << 61) - 1
 
@@ -90,14 +88,17 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     a = rng.integers(1, 1 << 63, bands * rows, np.uint64) | np.uint64(1)
     b = rng.integers(0, 1 << 63, bands * rows, np.uint64)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list) -> list[list]:
         with np.errstate(over="ignore"):
-            for batch in batches:
-                sets = [shingles(t, n) for t in batch["text"]]
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "grams": [len(s) for s in sets], "bands": [band_keys(signature(s, a, b), bands, rows) if len(s) else [] for s in sets]})
+            sets = [shingles(t, n) for t in texts]
+            return [[len(s) for s in sets], [band_keys(signature(s, a, b), bands, rows) if len(s) else [] for s in sets]]
+
+    keyed = docs.select("doc_id", text_key().alias("key"), "text")
+    return map_texts(keyed, ["text"], run, "grams int, bands array<bigint>", ["doc_id", "key"])
+
 
-    source = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"), "text")
-    return source.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key string, grams int, bands array<bigint>")
+def text_key() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
 
 
 def links_within(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
@@ -165,17 +166,16 @@ def text_groups(docs: DataFrame, scratch: Scratch, n: int, threshold: float, rec
     placed = scratch.save(placed.select("key", "text_id", "root", "blocks", "block"))
 
     # The sets of the texts that have candidates: one document of each class carries its text.
-    texts = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"))
+    texts = docs.select("doc_id", "text", text_key().alias("key"))
     small = placed.limit(200_000).count() < 200_000
     carriers = F.broadcast(placed) if small else placed
     chosen = texts.join(carriers, (texts["key"] == placed["key"]) & texts["doc_id"].eqNullSafe(placed["text_id"]))
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(texts: list) -> list[list]:
         with np.errstate(over="ignore"):
-            for b in batches:
-                yield b.drop(columns="text").assign(grams=[shingles(t, n).view(np.int64).tolist() for t in b["text"]])
+            return [[shingles(t, n).view(np.int64) for t in texts]]
 
-    chosen = chosen.select(placed["key"], "root", "blocks", "block", "text").mapInPandas(sets, "key string, root string, blocks int, block int, grams array<bigint>")
+    chosen = map_texts(chosen.select(placed["key"], "root", "blocks", "block", "text"), ["text"], sets, "grams array<bigint>", ["key", "root", "blocks", "block"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tasks = chosen.withColumn("with", other).select("root", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "key", "grams")
 
@@ -228,7 +228,7 @@ def keep_first(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame
     best = named.groupBy("root").agg(F.min(F.struct(F.col("text_id").isNull().alias("none"), "text_id", "key")).alias("b"))
     best = scratch.save(best.select(F.col("b.text_id").alias("id"), F.col("b.key").alias("md5")))
     some = F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"), some.alias("some"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", text_key().alias("key"), some.alias("some"))
     kept = rows.where("some").join(best, (F.col("key") == F.col("md5")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     plain = [F.col("row")[f.name] for f in docs.schema if isinstance(f.dataType, AtomicType)]
     one = kept.groupBy("doc_id", "key").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))

@@ -13,8 +13,10 @@ fingerprints and hot first documents go through a broadcast of their few keys (s
 
 Defined cases: null and empty texts have no lines, and stay as they are; runs under GRAM words stay; a blank line
 counts as a line of no words and goes with the run around it; rows with equal doc_id and text are one document (both
-keep their lines); equal texts under two ids: the least id keeps them; null doc_ids come first; an empty table gives
-an empty one; other columns, whatever their names, are passed through by ``dedup_lines``.
+keep their lines); equal texts under two ids: the least id keeps them; null doc_ids come first; a document of very
+many lines is rows of its own until its lines are compared, as one array; ties between fingerprints go to the earlier
+place; an empty table gives an empty one; other columns, whatever their names, are passed through by ``dedup_lines``
+(all but ``_n_lines`` and ``_n_deleted``, which it adds and so replaces).
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from genoframe.llm.common import WORD, Scratch, join_hot, table
+from genoframe.llm.common import WORD, Scratch, join_hot, join_salted, table
 
 GRAM, WINDOW = 25, 25
 
@@ -67,12 +69,13 @@ def repeated_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
     within = prints.where("prev IS NOT NULL").select("_d", F.col("_d").alias("d0"), (F.col("prev") - F.col("pos")).alias("shift"))
     aligned = scratch.save(across.unionByName(within).distinct())
 
-    # Both documents' lines as arrays, the earlier one's through join_hot as one may serve many.
+    # Both documents' lines as arrays, through join_salted as one may serve many.
     wanted = aligned.select("_d").unionByName(aligned.select(F.col("d0").alias("_d"))).distinct()
     arrays = scratch.save(lines.join(wanted, "_d", "left_semi").groupBy("_d").agg(F.array_sort(F.collect_list(F.struct("pos", "h", "nw"))).alias("ls")))
     uses = aligned.groupBy(F.col("d0").alias("_d")).agg(F.count("*").alias("uses"))
     earlier = scratch.save(arrays.join(uses, "_d").select(F.col("_d").alias("d0"), F.col("ls.h").alias("h0"), "uses"))
-    both = join_hot(aligned.join(arrays, "_d"), earlier, "d0", hot_share=0.01)
+    own = aligned.groupBy("_d").agg(F.count("*").alias("uses")).join(arrays, "_d")
+    both = join_salted(join_salted(aligned, scratch.save(own), "_d", F.struct("d0", "shift")), earlier, "d0", F.struct("_d", "shift"))
     # Of the lines that the alignment pairs, those that differ cut the rest into stretches of equal lines.
     low, high = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("ls"), F.size("h0") - F.col("shift"))
     differ = F.filter(F.sequence(F.col("low"), F.col("high") - 1), lambda p: F.get(F.col("ls"), p)["h"] != F.get(F.col("h0"), p + F.col("shift")))
@@ -83,17 +86,21 @@ def repeated_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated runs taken out of ``text``, and n_lines and n_deleted added."""
+    """``docs`` with repeated runs taken out of ``text``, and _n_lines and _n_deleted added."""
     scratch = Scratch(docs.sparkSession)
-    ranges = repeated_runs(docs, scratch).groupBy("_d").agg(F.collect_list(F.struct("first", "last")).alias("_ranges"))
-    joined = _key(docs).join(ranges, "_d", "left")
+    ranges = repeated_runs(docs, scratch).groupBy("_d").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    rows = _key(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
+    joined = rows.join(ranges, "_d", "left").select("row", "text", "ranges")
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x, i: ~F.exists("_ranges", lambda r: (r["first"] <= i) & (i <= r["last"])))
-    return joined.select(
-        *[F.when(F.col("_ranges").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(lines)).cast("long").alias("_n_lines"),
-        F.when(F.col("_ranges").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long").alias("_n_deleted"),
+    kept = F.filter(lines, lambda x, i: ~F.exists("ranges", lambda r: (r["first"] <= i) & (i <= r["last"])))
+    made = joined.select(
+        "row",
+        F.when(F.col("ranges").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("left"),
+        F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(lines)).cast("long").alias("lines"),
+        F.when(F.col("ranges").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long").alias("deleted"),
     )
+    own = [F.col("left").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("_n_lines", "_n_deleted")]
+    return made.select(*own, F.col("lines").alias("_n_lines"), F.col("deleted").alias("_n_deleted"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -9,9 +9,11 @@ with ``hdrl``, ``movi`` and ``idx1``; the payload's length is in an INFO chunk,
 A shot ends where the histogram of a frame differs from the one before by more than the mean and twice the deviation
 of the differences around it: the bar adapts to how lively the neighbourhood is.
 
-All work is per row in ``mapInPandas``, nothing is shuffled. Defined cases: null and empty texts are a payload of 64
-zero bytes; a media value that is null, truncated or no AVI gives no clips; repeated rows get equal results; an empty
-table gives none; other columns are ignored.
+All work is per row in ``mapInArrow``, nothing is shuffled. Defined cases: null and empty texts are a payload of 64
+zero bytes; a media value that is null, truncated or no AVI gives no clips; a very long text is one file of many
+frames, held whole by its task at about 40 times its size; a difference that equals the bar is no shot; repeated rows
+get equal results; ids of any type come back as they are; an empty table gives none; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -23,11 +25,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from genoframe.llm.common import table
+from genoframe.llm.common import map_texts, table
 
 WIDTH, HEIGHT, FPS, PAD = 64, 64, 25, 64
 
@@ -228,23 +228,17 @@ def clip_rows(data: bytes | None) -> list[tuple[int, float, float, int]]:
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, media: each text stored as an AVI file."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "media": [encode_avi(pad((t or "").encode("utf-8", "replace"))) for t in b["text"]]})
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {docs.schema[id_col].dataType.simpleString()}, media binary").withColumnRenamed("id", id_col)
+    return map_texts(docs, [text_col], lambda texts: [[encode_avi(pad((t or "").encode("utf-8", "replace"))) for t in texts]], "media binary", [id_col])
 
 
 def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """A row a clip: id_col, clip, start_s, end_s, frames."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, *r) for i, m in zip(b["id"], b["media"], strict=True) for r in clip_rows(m)]
-            yield pd.DataFrame(rows, columns=["id", "clip", "start_s", "end_s", "frames"])
+    def run(values: list) -> list[list]:
+        rows = [(i, *r) for i, m in enumerate(values) for r in clip_rows(m)]
+        return list(map(list, zip(*rows, strict=True))) if rows else [[]] * 5
 
-    return media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInPandas(run, f"id {media.schema[id_col].dataType.simpleString()}, clip int, start_s double, end_s double, frames int").withColumnRenamed("id", id_col)
+    return map_texts(media, [media_col], run, "clip int, start_s double, end_s double, frames int", [id_col])
 
 
 def digest(text: str | None) -> tuple:
@@ -256,13 +250,11 @@ def digest(text: str | None) -> tuple:
     return len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col and what ``digest`` says of each text."""
+    schema = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return map_texts(docs, [text_col], lambda texts: list(zip(*map(digest, texts), strict=True)) or [[]] * 7, schema, [id_col])
+
+
 def op4(spark, sf_dir: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        for b in batches:
-            out = pd.DataFrame([digest(t) for t in b["text"]], columns=names)
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield out
-
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, schema)
+    return digests(table(spark, sf_dir, "documents"))

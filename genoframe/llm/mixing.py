@@ -2,14 +2,17 @@
 
 Every document of a source waits in an order shuffled by a hash. Its virtual finish time is the number of source
 words up to its end, divided by the source's target; a further pass over the source continues the count. All
-passes of all sources are then put in the order of their finish times and cut where the words reach the budget.
+passes of all sources are then put in the order of their finish times and cut where the words reach the budget: of
+the document at the cut the mix takes the words that are left (``mix_plan`` with ``split_last``), or none.
 
 Nothing but (doc_id, source, size) is shuffled. Cumulative sums are two-level: sums of hash or time buckets, whose
 number follows the number of documents, then a sum inside one bucket; so no source meets in a task, however large.
 
 Defined cases: a null or empty text, or one of white space only, has size 0 and takes nothing; null sources form
-one source that comes last; rows that repeat a doc_id count as documents of their own (ordered by size); an empty
-table gives an empty mix; other columns are ignored. The result is the same at every run.
+one source that comes last; rows that repeat a doc_id count as documents of their own (ordered by size); a very long
+text is counted whole and is one document, so its source may miss its target by its size in ``mix``, which takes whole
+documents; finish times that tie go by the hash of doc_id, then size; an empty table gives an empty mix; other columns
+are ignored, whatever their names, and passed through by ``mix``. The result is the same at every run.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-from genoframe.llm.common import WORD, Scratch, join_small
+from genoframe.llm.common import WORD, Scratch, join_small, table
 
 
 def targets(sources: DataFrame, weights: Sequence[float], most: int) -> DataFrame:
@@ -50,10 +53,11 @@ def row_hash(docs: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if isinstance(f.dataType, AtomicType)])
 
 
-def mix_plan(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: int = 3, by_row: bool = False) -> DataFrame:
+def mix_plan(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: int = 3, by_row: bool = False, split_last: bool = False) -> DataFrame:
     """doc_id, size, source_size, target and ``taken``, the words that the mix takes of each document.
 
-    ``by_row`` adds ``h``, the hash of the row, which orders rows of equal doc_id and size.
+    ``split_last`` takes a part of the document at the cut, so that the mix is as long as its budget and a source of
+    one or two documents comes near its target too. ``by_row`` adds ``h``, the hash of the row, which orders rows of equal doc_id and size.
     """
     h = ["h"] if by_row else []
     scratch = Scratch(docs.sparkSession)
@@ -97,12 +101,16 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most:
     slots = passes.groupBy("slot").agg(F.sum("size").alias("words"))
     slots = slots.withColumn("upto", F.sum("words").over(Window.orderBy("slot")))
     full = slots.where(F.col("upto") > budget).agg(F.min("slot"), F.min_by(F.col("upto") - F.col("words"), "slot")).first()
-    last = None
+    last = part = None
     if full[0] is not None:  # the cut lies in one slot, whose rows are few as slots follow the number of documents
-        rank = F.struct("finish", "k", "size", "turn")
-        here = passes.where(F.col("slot") == full[0]).withColumn("upto", F.lit(full[1]) + F.sum("size").over(Window.orderBy("finish", "k", "size", "turn").rowsBetween(Window.unboundedPreceding, 0)))
-        last = here.where(F.col("upto") <= budget).agg(F.max(rank)).first()[0]
+        rank_names = ["finish", "k", "size", "turn"]
+        rank = F.struct(*rank_names)
+        here = passes.where(F.col("slot") == full[0]).withColumn("upto", F.lit(full[1]) + F.sum("size").over(Window.orderBy(*rank_names).rowsBetween(Window.unboundedPreceding, 0)))
+        last, part = here.agg(F.max(F.when(F.col("upto") <= budget, rank)), F.min(F.when(F.col("upto") > budget, F.struct(*rank_names, (F.lit(budget) - F.col("upto") + F.col("size")).alias("words"))))).first()
     taken = F.lit(0).cast("long")
+    if split_last and part is not None and part["words"] > 0:
+        cut = (F.col("k") == part["k"]) & (F.col("size") == part["size"]) & (F.try_divide(F.lit(part["turn"]) * F.col("source_size") + F.col("end"), F.col("target")) == F.lit(part["finish"]))
+        taken = F.when(F.coalesce(cut, F.lit(False)), F.lit(part["words"])).otherwise(F.lit(0)).cast("long")
     for turn in range(most):
         finish = F.try_divide(F.lit(turn) * F.col("source_size") + F.col("end"), F.col("target"))
         runs = F.lit(turn) * F.col("source_size") + F.col("end") - F.col("size") < F.col("target")
@@ -128,9 +136,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: int =
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    from genoframe.llm.common import table
-
-    return mix_plan(table(spark, sf_dir, "documents"))
+    return mix_plan(table(spark, sf_dir, "documents"), split_last=True)
 
 
 SQL = r"""
@@ -148,7 +154,7 @@ q AS (SELECT d.*, source_size, target, total, sum(size) OVER (PARTITION BY d.sou
 p AS (SELECT doc_id, k, size, total, turn, (turn * source_size + done) / target AS finish
   FROM q, (SELECT unnest([0, 1, 2]) AS turn) WHERE size > 0 AND target > 0 AND turn * source_size + done - size < target),
 c AS (SELECT *, sum(size) OVER (ORDER BY finish, k, size, turn ROWS UNBOUNDED PRECEDING) AS upto FROM p),
-g AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM c WHERE upto <= total GROUP BY doc_id)
+g AS (SELECT doc_id, sum(least(size, total - upto + size))::BIGINT AS taken FROM c WHERE upto - size < total GROUP BY doc_id)
 SELECT q.doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
 FROM q LEFT JOIN g ON q.doc_id IS NOT DISTINCT FROM g.doc_id
 """

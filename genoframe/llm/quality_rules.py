@@ -9,8 +9,11 @@ documents net of good ones is taken, the mildest at ties. A stratum with too few
 all that the base rules keep.
 
 Defined cases: a null text counts as empty (all features 0; fails the base rule of 20 words); a null stratum is a
-stratum of its own; null or repeated labels: null ones are ignored, a document is good if any of its labels is 1;
-repeated rows get equal results; an empty table gives none; other columns are ignored.
+stratum of its own, apart from the empty name; null or repeated labels: null ones are ignored, a document is good if
+any of its labels is 1; rows that repeat a doc_id are one draw in the bounds and get a verdict each; a value equal to
+a cutoff is kept; ties between cutoffs go to the milder; a very long text is one task's work, in time n log n of its
+words; an empty table gives none; other columns are ignored, whatever their names, and passed through by
+``keep_documents``.
 """
 
 from __future__ import annotations
@@ -27,6 +30,15 @@ CUTOFFS = {
     "repeats": [0.25, 0.2, 0.15, 0.1, 0.05],
 }
 SYMBOLS = "#*$%&|<>"
+#: Good documents that a rule may reject in a stratum, at most, and the chance that any certificate is wrong. With twelve
+#: tests it takes 180 good labels of which none is rejected to certify a cutoff.
+RISK, DELTA = 0.03, 0.05
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
+
+
+def stratum_key(stratum: str) -> Column:
+    """The stratum's name after a mark, so that null is a stratum apart from the empty name."""
+    return F.coalesce(F.concat(F.lit("="), F.col(stratum)), F.lit(""))
 
 
 def bound(value: Column, use) -> Column:
@@ -86,11 +98,12 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 def certified_cutoffs(features: DataFrame, labels: DataFrame, stratum: str, risk: float, delta: float) -> DataFrame:
     """stratum and one column a rule: its certified cutoff, null if there is none worth taking."""
     good = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("good"))
+    # The bound is one of independent draws: rows that repeat a doc_id are one draw, the least of them.
+    whole = F.struct(stratum_key(stratum).alias("stratum"), *COUNTS, "good")
+    drawn = features.where("NOT base_failed").join(good, "doc_id").groupBy("doc_id").agg(F.min(whole).alias("row")).select("row.*")
     tested = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), (value > c).alias("rejects")) for rule, value in rule_values().items() for i, c in enumerate(CUTOFFS[rule])])
     counts = (
-        features.where("NOT base_failed")
-        .join(good, "doc_id")
-        .select(F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), "good", F.explode(tested).alias("x"))
+        drawn.select("stratum", "good", F.explode(tested).alias("x"))
         .groupBy("stratum", "x.rule", "x.step", "x.cutoff")
         .agg(
             F.sum("good").cast("long").alias("n"),
@@ -108,7 +121,7 @@ def certified_cutoffs(features: DataFrame, labels: DataFrame, stratum: str, risk
 
 def judge(features: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
     """``features`` with ``kept``. ``cutoffs`` has a row a stratum and should have been saved."""
-    joined = join_small(features.withColumn("stratum", F.coalesce(F.col(stratum), F.lit(""))), cutoffs, "stratum", "left")
+    joined = join_small(features.withColumn("stratum", stratum_key(stratum)), cutoffs, "stratum", "left")
     over = F.lit(False)
     for rule, value in rule_values().items():
         over = over | F.coalesce(value > F.col(f"cut_{rule}"), F.lit(False))
@@ -116,7 +129,7 @@ def judge(features: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> Dat
     return joined.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(~over)).drop("stratum", *[f"cut_{r}" for r in CUTOFFS])
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.005, delta: float = 0.05) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """A row a document: its base features, base_failed and kept."""
     scratch = Scratch(docs.sparkSession)
     features = scratch.save(base_features(docs.select("doc_id", "text", stratum)).drop("text"))
@@ -124,13 +137,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ris
     return judge(features, cutoffs, stratum)
 
 
-def keep_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.005, delta: float = 0.05) -> DataFrame:
+def keep_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """The documents that the rules keep, with their own columns, whatever their names.
 
     Rows are saved with their features, so that these are counted once and texts are not shuffled.
     """
     scratch = Scratch(docs.sparkSession)
-    whole = docs.select("doc_id", "text", stratum, F.struct(*docs.columns).alias("_row"))
+    whole = docs.select("doc_id", "text", stratum, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     features = scratch.save(base_features(whole).drop("text"))
     cutoffs = scratch.save(certified_cutoffs(features, labels, stratum, risk, delta))
     return judge(features, cutoffs, stratum).where("kept").select("_row.*")
@@ -151,25 +164,27 @@ i AS (SELECT row_number() OVER () AS rid, * FROM d),
 x AS (SELECT rid, unnest(range(1, len(words) - 6)) AS p, unnest(list_transform(range(1, len(words) - 6), lambda j: array_to_string(words[j:j + 7], ' '))) AS w FROM i WHERE len(words) >= 8),
 y AS (SELECT rid, p, count(*) OVER (PARTITION BY rid, w) AS c FROM x),
 z AS (SELECT rid, sum(least(8, p - prev))::BIGINT AS n FROM (SELECT rid, p, coalesce(lag(p) OVER (PARTITION BY rid ORDER BY p), -8) AS prev FROM y WHERE c > 1) GROUP BY rid),
-f AS (SELECT i.* EXCLUDE (words, lines, t, rid), len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+f AS (SELECT i.* EXCLUDE (words, lines, t), coalesce('=' || lang, '') AS stratum, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
   coalesce(z.n, 0)::BIGINT AS n_repeat_words, len(words) < 20 OR 100 * coalesce(z.n, 0) > 30 * len(words) AS base_failed FROM i LEFT JOIN z USING (rid)),
-v AS (SELECT *, coalesce(lang, '') AS stratum, unnest([
+v AS (SELECT *, unnest([
   {{'rule': 'symbols', 'value': coalesce(n_symbols::DOUBLE / nullif(word_chars, 0), 0)}},
   {{'rule': 'dup_lines', 'value': coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0), 0)}},
   {{'rule': 'repeats', 'value': coalesce(n_repeat_words::DOUBLE / nullif(n_words, 0), 0)}}]) AS r FROM f),
 cuts AS (SELECT rule, unnest(range(0, len(cs))) AS step, unnest(cs) AS cutoff FROM (VALUES
   {", ".join(f"('{r}', {[float(c) for c in cs]}::DOUBLE[])" for r, cs in CUTOFFS.items())}) AS c(rule, cs)),
 good AS (SELECT doc_id, max(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+u AS (SELECT rid, good FROM (SELECT rid, good, row_number() OVER (PARTITION BY doc_id ORDER BY stratum, {", ".join(COUNTS)}) AS pick
+  FROM f JOIN good USING (doc_id) WHERE NOT base_failed) WHERE pick = 1),
 n AS (SELECT stratum, cuts.rule, step, cutoff, sum(good)::BIGINT AS n, coalesce(sum(good) FILTER (WHERE r.value > cutoff), 0)::BIGINT AS k,
   coalesce(sum(1 - good) FILTER (WHERE r.value > cutoff), 0)::BIGINT AS bad
-  FROM v JOIN good USING (doc_id) JOIN cuts ON cuts.rule = r.rule WHERE NOT base_failed GROUP BY ALL),
-b AS (SELECT *, n > 0 AND (CASE WHEN k >= n * 0.005 THEN 1 ELSE list_sum(list_transform(range(0, k + 1),
-  lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.005) + (n - j) * ln(0.995)))) END)
-  <= 0.05 / (SELECT count(*) FROM (SELECT DISTINCT stratum, rule FROM n)) AS ok FROM n),
+  FROM v JOIN u USING (rid) JOIN cuts ON cuts.rule = r.rule GROUP BY ALL),
+b AS (SELECT *, n > 0 AND (CASE WHEN k >= n * {RISK} THEN 1 ELSE list_sum(list_transform(range(0, k + 1),
+  lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1 - {RISK})))) END)
+  <= {DELTA} / (SELECT count(*) FROM (SELECT DISTINCT stratum, rule FROM n)) AS ok FROM n),
 o AS (SELECT *, bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY step) AS fine FROM b),
 best AS (SELECT stratum, rule, arg_max(cutoff, (bad - k, -step)) AS cutoff FROM o WHERE fine AND bad > k GROUP BY ALL),
-kept AS (SELECT v.* EXCLUDE (r, stratum), bool_and(coalesce(r.value <= cutoff, TRUE)) AS ok FROM v LEFT JOIN best ON best.stratum = v.stratum AND best.rule = r.rule GROUP BY ALL)"""
+kept AS (SELECT v.* EXCLUDE (r), bool_and(coalesce(r.value <= cutoff, TRUE)) AS ok FROM v LEFT JOIN best ON best.stratum = v.stratum AND best.rule = r.rule GROUP BY ALL)"""
 
 
 SQL = f"""WITH {features_sql("(SELECT doc_id, text, lang FROM documents)")}

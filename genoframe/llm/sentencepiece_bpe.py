@@ -7,38 +7,43 @@ the prefix before it: a pair is compatible if the pair's own text is encoded as
 recovered backwards from the end. Time is linear in the length, where merging by priority is not.
 
 No vocabulary word holds a space mark after another character, so texts fall into chunks (space marks and what
-follows, up to the next one) that never merge with each other. Chunks recur; each worker remembers their ids and
-the answers to pair tests, and empties both when they reach a fixed number of entries, so its memory is bounded.
-
-Texts pass through ``mapInPandas`` without a shuffle. Defined cases: null and empty texts have the end id only and
-decode to an empty text; repeated rows get equal results; an empty table gives none; other columns are ignored.
+follows, up to the next one) that never merge with each other. Chunks recur; each worker remembers the ids of
+those of usual length and the answers to pair tests, and empties both when they reach a fixed number of entries, so
+its memory is bounded.
+
+Texts pass through ``mapInArrow`` without a shuffle. Defined cases: null and empty texts have the end id only and
+decode to an empty text; very long texts and chunks take time in proportion to their length; scores that tie merge
+leftmost first, as in the library; repeated rows get equal results; ids of any type come back as they are; an empty
+table gives none; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from genoframe.llm.common import table
+from genoframe.llm.common import map_texts, table
 
 MARK = "▁"
 REMEMBERED = 600_000
 
 
+LONGEST = 64
+
+
 class Memory(dict):
-    """What ``make`` gave for a key; emptied when it is full."""
+    """What ``make`` gave for a key, but for strings over LONGEST; emptied when it is full."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
 
     def __missing__(self, key):
+        if isinstance(key, str) and len(key) > LONGEST:
+            return self.make(key)
         if len(self) >= REMEMBERED:
             self.clear()
         got = self[key] = self.make(key)
@@ -163,36 +168,22 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
 def encode(docs: DataFrame, model_file: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, ids: the token ids of every text."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(model_file or model_path())
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "ids": [enc.encode(t or "") for t in b["text"]]})
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {docs.schema[id_col].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
+    return map_texts(docs, [text_col], lambda texts: [[encoder(model_file or model_path()).encode(t or "") for t in texts]], "ids array<int>", [id_col])
 
 
 def decode(encoded: DataFrame, model_file: str | None = None, id_col: str = "doc_id") -> DataFrame:
-    """id_col, text: the text of every list of ids."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(model_file or model_path())
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "text": [enc.decode([int(i) for i in ids]) for ids in b["ids"]]})
-
-    return encoded.select(F.col(id_col).alias("id"), "ids").mapInPandas(run, f"id {encoded.schema[id_col].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
+    """id_col, text: the text of every list of ids; null ids are an empty list."""
+    return map_texts(encoded, ["ids"], lambda lists: [[encoder(model_file or model_path()).decode(ids or []) for ids in lists]], "text string", [id_col])
 
 
-def digests(docs: DataFrame, model_file: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def digests(docs: DataFrame, model_file: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_tokens, ids_sha256, decoded_sha256."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list) -> list:
         enc = encoder(model_file or model_path())
-        for b in batches:
-            out = [enc.digest(t or "") for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [x[0] for x in out], "ids_sha256": [x[1] for x in out], "decoded_sha256": [x[2] for x in out]})
+        return list(zip(*[enc.digest(t or "") for t in texts], strict=True)) or [[]] * 3
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs, [text_col], run, "n_tokens long, ids_sha256 string, decoded_sha256 string", [id_col])
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -11,28 +11,29 @@ jointly.
   its worst window: a few toxic words in a long text must not be averaged away. In training each window of a document
   shares in its gradient by its softmax weight, so the windows that carry the label are found on the way.
 
-Labels are learned from a bounded sample of the training fold, ``sample`` documents (about), which is collected and
-fitted on the driver. The model is one float a hash bucket (the layer applied to the vectors), which the executors
-get as a broadcast of fixed size (512 KB); every whole text is scored in ``mapInPandas`` without a shuffle.
-
-Defined cases: null, empty and blank texts get the score of no words (the layer's bias); ties do not arise; repeated
-rows get equal scores; rows without a label are scored as well; null labels and null doc_ids are not learned from; of
-contradicting labels for an id the larger counts; with no labelled row or one class only, every score is the share of
-label 1 (0 if none); an empty table gives none; other columns are ignored.
+Labels are learned from a bounded sample of the training fold, ``sample`` documents (about) of ``sample_bytes`` bytes
+(at most), which is collected and fitted on the driver. The model is one float a hash bucket (the layer applied to the
+vectors), which the executors get as a broadcast of fixed size (512 KB); every whole text is scored in ``mapInArrow``
+without a shuffle.
+
+Defined cases: null, empty and blank texts get the score of no words (the layer's bias); a very long text is scored
+whole by its task, in time and memory in proportion to its length; of equal windows any is the worst; repeated rows
+get equal scores, and rows that repeat a doc_id are learned from once; ids of any type come back as they are; rows
+without a label are scored as well; null labels and null doc_ids are not learned from; of contradicting labels for an
+id the larger counts; with no labelled row or one class only, every score is the share of label 1 (0 if none); an
+empty table gives none; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genoframe.llm.common import table
+from genoframe.llm.common import map_texts, table
 
 STRIP = ".,;:!?\"'()[]{}"
 CACHED = 500_000
@@ -48,13 +49,15 @@ class Settings:
     epochs: int = 3
     least_steps: int = 250
     rate: float = 0.3
-    sample: int = 4000
+    sample: int = 4000  # labelled documents to learn from, about
+    sample_bytes: int = 256 << 20  # and bytes of their texts at most
     batch: int = 32
     seed: int = 7
+    least_docs: int = 1  # n-grams of fewer training documents are not learned: they could only be learned by heart
 
 
 QUALITY = Settings(lower=False, window=0, again=True)
-TOXICITY = Settings(lower=True, window=8)
+TOXICITY = Settings(lower=True, window=2, least_docs=3)
 
 
 def tokens(text: str | None, s: Settings) -> list[str]:
@@ -121,8 +124,14 @@ def fit(texts: list[str | None], labels: list[int], s: Settings) -> Model:
     ngrams = ngrams[np.argsort(of, kind="stable")].astype(np.int32)
     counts = np.bincount(of, minlength=len(ids))
     starts = np.concatenate([[0], np.cumsum(counts)])
+    seen_in = np.zeros(s.buckets, np.int64)
+    for words, _, _ in docs:
+        some = np.unique(words)
+        seen_in[np.unique(ngrams[np.concatenate([np.arange(starts[w], starts[w + 1]) for w in some])]) if len(some) else []] += 1
+    rare = seen_in < s.least_docs
     rng = np.random.default_rng(s.seed)
     vectors = rng.uniform(-1, 1, (s.buckets, s.size)).astype(np.float32) / s.size
+    vectors[rare] = 0
     layer = rng.uniform(-1, 1, s.size).astype(np.float32)
     seen_v, seen_l, seen_b = np.full(s.buckets, 1e-8, np.float32), np.full(s.size, 1e-8), 1e-8
     bias = flat.bias
@@ -153,6 +162,7 @@ def fit(texts: list[str | None], labels: list[int], s: Settings) -> Model:
             by_row = np.argsort(rows, kind="stable")
             hit, heads = np.unique(rows[by_row], return_index=True)
             grad = np.add.reduceat(np.repeat(grad_words.astype(np.float32), k, axis=0)[by_row], heads, axis=0)
+            grad[rare[hit]] = 0
             seen_v[hit] += (grad**2).mean(1)
             vectors[hit] -= s.rate * grad / np.sqrt(seen_v[hit])[:, None]
             seen_l += grad_layer**2
@@ -191,6 +201,11 @@ class Scorer:
             return bias
         if not window:
             return sum(map(share, words)) / len(words) + bias
+        if window == 2:  # the usual case at numpy's pace: a word said twice counts once
+            shares = np.fromiter(map(share, words), np.float64, len(words))
+            sums = shares[::2].copy()
+            sums[: len(words) // 2] += shares[1::2] * ~np.fromiter(map(str.__eq__, words[::2], words[1::2]), bool, len(words) // 2)
+            return float(sums.max()) / 2 + bias
         return max(sum(map(share, set(words[i : i + window]))) for i in range(0, len(words), window)) / window + bias
 
 
@@ -206,14 +221,23 @@ def scorer(name: str, model: Model) -> Scorer:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column, s: Settings) -> tuple[list[str | None], list[int]]:
-    """About ``s.sample`` labelled texts of the training fold, chosen by a hash of doc_id. Only their ids are
-    broadcast and only their texts leave the scan."""
+    """About ``s.sample`` labelled texts of the training fold, chosen by a hash of doc_id, as far as they fit
+    ``s.sample_bytes`` in that order; of rows that repeat a doc_id the least text. Only ids are broadcast, and only
+    ids, lengths and the chosen texts leave the scan."""
     usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & fold).groupBy("doc_id").agg(F.max(label).alias("y"))
     n = usable.count()
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    chosen = F.broadcast(usable.where(spot < s.sample / max(n, 1)))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "y").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    drawn = usable.withColumn("spot", spot).where(F.col("spot") / F.lit(float(1 << 40)) < s.sample / max(n, 1))
+    one = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "y", "spot").agg(F.min("text").alias("text"))
+    sizes = one.select("doc_id", "spot", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).collect()
+    left, fits = s.sample_bytes, []
+    for r in sorted(sizes, key=lambda r: (r["spot"], str(r["doc_id"]))):
+        if r["bytes"] <= left:
+            left -= r["bytes"]
+            fits.append(r["doc_id"])
+    if len(fits) < len(sizes):
+        one = one.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in fits], docs.select("doc_id").schema)), "doc_id", "left_semi")
+    rows = sorted(one.select("doc_id", "text", "y").collect(), key=lambda r: r["doc_id"])
     return [r["text"] for r in rows], [int(r["y"]) for r in rows]
 
 
@@ -229,17 +253,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
     """``keep`` columns of ``docs`` and ``score`` of its whole texts."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     name = f"{id(shared)}-{zlib.crc32(model.weights.tobytes())}"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by = scorer(name, shared.value)
-        for b in batches:
-            out = b.drop(columns="_text")
-            out["score"] = by.scores(b["_text"].tolist())
-            yield out
-
-    kept = docs.select(*keep, F.col(text_col).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop("_text").schema)
-    return kept.mapInPandas(run, f"{schema}, score double")
+    return map_texts(docs, [text_col], lambda texts: [scorer(name, shared.value).scores(texts)], "score double", keep)
 
 
 def scored(docs: DataFrame, labels: DataFrame, label: str, s: Settings, modulus: int, held: int, bar: float = 0.3) -> DataFrame:
