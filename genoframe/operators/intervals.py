@@ -21,16 +21,28 @@ def _cells(start: Column, end: Column, width: int) -> Column:
 def drop_masked(reads: DataFrame, mask: DataFrame, width: int = 1 << 20, limit: int = 100_000) -> DataFrame:
     """Reads that overlap no mask interval (start < mask end and end > mask start).
 
-    A mask of up to ``limit`` rows (counted) is broadcast; a larger one is met by coarse cells, in which only the
-    reads' keys are shuffled twice.
+    The axis is cut into coarse cells no narrower than the longest read, so a read touches one or two. The mask is a
+    list of intervals a cell, and a read looks at the lists of its cells only. Up to ``limit`` mask rows (counted) the
+    lists are broadcast and reads stay where they are; beyond, they are met by a shuffle of the reads' distinct keys.
+    A stream's longest read is not known: each of its micro-batches is joined with the whole, small mask.
     """
+    m = mask.select(F.col("chrom").alias("mc"), F.col("start").alias("ms"), F.col("end").alias("me"))
+    if reads.isStreaming:
+        return reads.join(F.broadcast(m), (F.col("chrom") == F.col("mc")) & (F.col("start") < F.col("me")) & (F.col("end") > F.col("ms")), "left_anti")
+    width = max(width, reads.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0)
+    lists = m.distinct().withColumn("c", _cells(F.col("ms"), F.col("me"), width))
     if mask.limit(limit).count() < limit:
-        m = F.broadcast(mask.select(F.col("chrom").alias("mc"), F.col("start").alias("ms"), F.col("end").alias("me")))
-        return reads.join(m, (F.col("chrom") == F.col("mc")) & (F.col("start") < F.col("me")) & (F.col("end") > F.col("ms")), "left_anti")
+        lists = lists.groupBy("mc", "c").agg(F.array_sort(F.collect_list(F.struct("ms", "me"))).alias("spans"))
+        free = reads.withColumn("_low", F.floor(F.col("start") / width)).withColumn("_high", F.floor(F.greatest(F.col("end") - 1, F.col("start")) / width))
+        for at in ("_low", "_high"):
+            here = lists.select(*[F.col(c).alias(f"_{c}") for c in lists.columns])
+            free = free.join(F.broadcast(here), (F.col("chrom") == F.col("_mc")) & (F.col(at) == F.col("_c")), "left")
+            hit = F.exists("_spans", lambda x: (F.col("start") < x["me"]) & (F.col("end") > x["ms"]))
+            free = free.where(F.col("_spans").isNull() | ~hit).drop("_mc", "_c", "_spans")
+        return free.select(*reads.columns)
     keys = reads.select("chrom", "start", "end").distinct()
     by_read = keys.withColumn("c", _cells(F.col("start"), F.col("end"), width))
-    by_mask = mask.select("chrom", F.col("start").alias("ms"), F.col("end").alias("me")).withColumn("c", _cells(F.col("ms"), F.col("me"), width))
-    hit = by_read.join(by_mask, ["chrom", "c"]).where("start < me AND end > ms").select("chrom", "start", "end").distinct()
+    hit = by_read.join(lists.withColumnRenamed("mc", "chrom"), ["chrom", "c"]).where("start < me AND end > ms").select("chrom", "start", "end").distinct()
     return reads.join(hit, ["chrom", "start", "end"], "left_anti")
 
 

@@ -13,22 +13,36 @@ from genoframe.operators import cluster, correct, genome, intervals, ploidy, qc,
 from genoframe.params import Params
 from genoframe.plans import pipeline
 from genoframe.plans.oracles import BINS, ORACLES  # noqa: F401
+from genoframe.session import Scratch
 from genoframe.sources import tables
 
 P = replace(Params(), bin_size=tables.BIN, mapq=0, min_mean=0.5, gini=0.16, gc_low=45.0, gc_high=55.0, min_mappability=0.955, ward_first=3.0, ward_second=2.0)
 six = lambda c: F.round(c, 6).alias(c)
 
 
+def once(make: Callable[[Data], DataFrame]) -> Callable[[Data], DataFrame]:
+    """A step that several others read: it is written once, so no plan computes it again."""
+
+    def saved(self: Data) -> DataFrame:
+        if make.__name__ not in self.made:
+            self.made[make.__name__] = self.scratch.save(make(self))
+        return self.made[make.__name__]
+
+    return saved
+
+
 class Data:
     """The tables of a folder, seen by the pipeline."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self.scratch, self.made = spark, sf_dir, Scratch(spark), {}
         self.reads, self.bins, self.mask = tables.reads(spark, sf_dir), tables.bins(spark, sf_dir), tables.mask(spark, sf_dir)
 
+    @once
     def counts(self) -> DataFrame:
         return intervals.dense_counts(intervals.overlap_counts(self.reads, self.bins, tables.BIN), self.reads, self.bins)
 
+    @once
     def norm(self) -> DataFrame:
         return correct.plus_one(self.counts())
 
@@ -36,9 +50,11 @@ class Data:
         """A fixed clustering that SQL knows too."""
         return self.reads.select("cell").distinct().withColumn("cluster", (F.col("cell") % 4).cast("int"))
 
+    @once
     def profile(self) -> DataFrame:
         return segment.mean_profile(self.norm(), self.labels()).withColumn("pos", F.col("bin_id"))
 
+    @once
     def diffs(self) -> DataFrame:
         return segment.neighbour_difference(self.profile())
 
@@ -49,9 +65,11 @@ class Data:
     def bounds(self) -> DataFrame:
         return segment.boundaries(self.islands(), self.profile())
 
+    @once
     def segments(self) -> DataFrame:
         return segment.segments(self.bounds())
 
+    @once
     def values(self) -> DataFrame:
         places = segment.placed(self.profile(), self.segments())
         norm = self.norm().withColumn("pos", F.col("bin_id")).join(self.labels(), "cell")
@@ -73,9 +91,9 @@ class Data:
         return tables.read(self.spark, self.dir, "lineitem").groupBy(F.concat(F.lit("chr"), F.col("l_linenumber").cast("string")).alias("chrom")).agg(F.max(day).alias("length"))
 
     def intervals(self) -> DataFrame:
-        """Spans of orders by status as intervals."""
+        """Spans of all orders as intervals, each customer being a sequence of its own."""
         day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("long")
-        return tables.read(self.spark, self.dir, "orders").where("o_orderkey % 40 = 0").select(F.col("o_orderstatus").alias("chrom"), day.alias("start"), (day + F.col("o_orderkey") % 7 + 1).alias("end"))
+        return tables.read(self.spark, self.dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("chrom"), day.alias("start"), (day + F.col("o_orderkey") % 7 + 1).alias("end"))
 
 
 def named(df: DataFrame) -> DataFrame:
@@ -160,7 +178,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "geometric_pseudo_sample": _q(lambda d: _pseudo(d, False)),
     "arithmetic_pseudo_sample": _q(lambda d: _pseudo(d, True)),
     "size_factor": _q(lambda d: qc.size_factors(d.counts()).select("cell", six("factor"))),
-    "bin_sum_mad_filter": _q(lambda d: qc.mad_bins(d.counts(), qc.size_factors(d.counts())).select("bin_id", six("total"))),
+    "bin_sum_mad_filter": _q(lambda d: qc.mad_bins(d.counts(), d.scratch.save(qc.size_factors(d.counts()))).select("bin_id", six("total"))),
     "lorenz_curve": _q(lambda d: correct.lorenz(d.counts(), "cell", "n").select("cell", "rank", six("share"))),
     "gini_by_cell": _q(lambda d: correct.gini(d.counts()).select("cell", six("gini"))),
     "normal_cells": _q(_normal),

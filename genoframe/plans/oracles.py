@@ -14,10 +14,11 @@ gbins AS (SELECT (row_number() OVER (ORDER BY k, i) - 1)::INT AS bin_id, chrom,
   FROM (SELECT *, unnest(range(0, (length + 29) // 30)) AS i FROM sizes)),
 facts AS (SELECT (date_diff('day', DATE '1995-01-01', l_shipdate::DATE) // 30)::INT AS bin_id, round(avg(l_discount) * 1000, 6) AS gc, round(1 - avg(l_tax), 6) AS mapp FROM lineitem GROUP BY ALL),
 bins AS (SELECT i::INT AS bin_id, i * 30 + 1 AS s, (i + 1) * 30 AS e, gc, mapp FROM range({BINS}) AS r(i) LEFT JOIN facts ON facts.bin_id = i),
-mask AS (SELECT DISTINCT {O} AS s, {O} + 3 AS e FROM orders WHERE o_orderkey % 200 = 0),
-oc AS (SELECT cell, bin_id, count(*) AS n FROM reads JOIN bins ON reads.s < bins.e AND reads.e > bins.s GROUP BY ALL),
+days AS (SELECT {O} AS s, count(*) AS n FROM orders GROUP BY ALL),
+mask AS (SELECT s, s + 3 AS e FROM days WHERE n >= (SELECT round(quantile_cont(n, 0.98), 9) FROM days)),
+oc AS MATERIALIZED (SELECT cell, bin_id, count(*) AS n FROM reads JOIN bins ON reads.s < bins.e AND reads.e > bins.s GROUP BY ALL),
 cells AS (SELECT DISTINCT cell FROM reads),
-counts AS (SELECT cell, bin_id, coalesce(n, 0)::BIGINT AS n FROM cells CROSS JOIN bins LEFT JOIN oc USING (cell, bin_id)),
+counts AS MATERIALIZED (SELECT cell, bin_id, coalesce(n, 0)::BIGINT AS n FROM cells CROSS JOIN bins LEFT JOIN oc USING (cell, bin_id)),
 qc AS (SELECT cell, avg(query_length) AS readlength, count(*)::DOUBLE AS total, count(chrom)::DOUBLE AS mapped, count(*) FILTER (WHERE flag & 1024 = 0)::DOUBLE AS non_dup,
   count(*) FILTER (WHERE mapq >= 20)::DOUBLE AS mapq20 FROM reads GROUP BY cell),
 fullb AS (SELECT bin_id FROM counts GROUP BY bin_id HAVING min(n) > 0),
@@ -33,12 +34,12 @@ normal AS (SELECT cell FROM gini WHERE gini < 0.16),
 nmed AS (SELECT cell, median(n) AS m FROM counts JOIN normal USING (cell) GROUP BY cell),
 bias0 AS (SELECT bin_id, round(avg(n / nullif(m, 0)), 9) AS b FROM counts JOIN nmed USING (cell) GROUP BY bin_id),
 bias AS (SELECT bin_id, CASE WHEN coalesce(b, 0) = 0 THEN 1 ELSE b END AS bias FROM bias0),
-y AS (SELECT cell, bin_id, (n + 1) / avg(n + 1) OVER (PARTITION BY cell) AS y FROM counts),
+y AS MATERIALIZED (SELECT cell, bin_id, (n + 1) / avg(n + 1) OVER (PARTITION BY cell) AS y FROM counts),
 std AS (SELECT cell, round(stddev_pop(y), 9) AS std FROM y GROUP BY cell),
 spread AS (SELECT bin_id, round(max(y) - min(y), 9) AS spread FROM y GROUP BY bin_id),
 fp AS (SELECT * FROM spread WHERE spread >= (SELECT round(quantile_cont(spread, 0.9), 9) FROM spread)),
-prof AS (SELECT (cell % 4)::INT AS cluster, bin_id, bin_id AS pos, round(avg(y), 9) AS v FROM y GROUP BY ALL),
-nb AS (SELECT cluster, pos, v, CASE WHEN wat < 6 OR wat >= n - 6 THEN 0 ELSE round(abs(a - b), 9) END AS diff FROM (
+prof AS MATERIALIZED (SELECT (cell % 4)::INT AS cluster, bin_id, bin_id AS pos, round(avg(y), 9) AS v FROM y GROUP BY ALL),
+nb AS MATERIALIZED (SELECT cluster, pos, v, CASE WHEN wat < 6 OR wat >= n - 6 THEN 0 ELSE round(abs(a - b), 9) END AS diff FROM (
   SELECT *, row_number() OVER w - 1 AS wat, count(*) OVER (PARTITION BY cluster) AS n,
     median(v) OVER (PARTITION BY cluster ORDER BY pos ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS a,
     median(v) OVER (PARTITION BY cluster ORDER BY pos ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS b FROM prof WINDOW w AS (PARTITION BY cluster ORDER BY pos))),
@@ -48,7 +49,7 @@ isl AS (SELECT cluster, min(pos) AS lo, max(pos) AS hi, count(*) AS n FROM (
 bnd AS (SELECT cluster, round_even((lo + hi) / 2, 0)::INT AS boundary FROM isl UNION SELECT cluster, count(*)::INT FROM prof GROUP BY cluster),
 seg0 AS (SELECT cluster, (row_number() OVER w - 1)::INT AS seg_id, coalesce(lag(boundary) OVER w, 0) AS from_bin, boundary AS to_bin FROM bnd WINDOW w AS (PARTITION BY cluster ORDER BY boundary)),
 seg AS (SELECT * FROM seg0 WHERE to_bin > from_bin),
-vals AS (SELECT cluster, cell, bin_id, bin_id AS pos, seg_id, round(y, 9) AS y FROM y JOIN seg ON cluster = cell % 4 AND bin_id >= from_bin AND bin_id < to_bin),
+vals AS MATERIALIZED (SELECT cluster, cell, bin_id, bin_id AS pos, seg_id, round(y, 9) AS y FROM y JOIN seg ON cluster = cell % 4 AND bin_id >= from_bin AND bin_id < to_bin),
 blk AS (SELECT cluster, seg_id, median(y) AS block FROM vals GROUP BY ALL),
 cm AS (SELECT cluster, cell, seg_id, median(y) AS middle FROM vals GROUP BY ALL),
 grid AS (SELECT round(1.15::DOUBLE + 0.05::DOUBLE * k, 2) AS p FROM range(87) AS g(k)),
@@ -57,7 +58,7 @@ lm AS (SELECT cluster, p, rs FROM (SELECT *, lag(rs) OVER w AS l, lead(rs) OVER
 pl AS (SELECT cluster, coalesce(b.p, a.p) AS ploidy FROM (SELECT cluster, arg_min(p, (rs, p)) AS p FROM rs GROUP BY cluster) a LEFT JOIN (SELECT cluster, arg_min(p, (rs, p)) AS p FROM lm GROUP BY cluster) b USING (cluster)),
 call AS (SELECT cluster, cell, seg_id, round_even(round(ploidy * ((middle + block) / 2), 9), 0)::INT AS cn FROM cm JOIN blk USING (cluster, seg_id) JOIN pl USING (cluster)),
 cnv AS (SELECT vals.cell, pos, cn FROM vals JOIN call ON call.cell = vals.cell AND call.seg_id = vals.seg_id),
-ivs AS (SELECT o_orderstatus AS chrom, {O} AS s, {O} + o_orderkey % 7 + 1 AS e FROM orders WHERE o_orderkey % 40 = 0),
+ivs AS (SELECT 'c' || o_custkey AS chrom, {O} AS s, {O} + o_orderkey % 7 + 1 AS e FROM orders),
 fresh AS (SELECT *, coalesce(s > max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE)::INT AS f FROM ivs),
 marked AS (SELECT *, sum(f) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM fresh),
 bsum AS (SELECT bin_id, sum(n)::BIGINT AS n FROM counts GROUP BY bin_id),

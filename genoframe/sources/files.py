@@ -6,6 +6,7 @@ import gzip
 import io
 import struct
 from collections.abc import Iterator
+from functools import reduce
 from itertools import batched
 from typing import BinaryIO
 
@@ -21,8 +22,11 @@ READS = "cell string, chrom string, start bigint, end bigint, mapq int, flag int
 def chrom_sizes(spark: SparkSession, fasta: str) -> DataFrame:
     """chrom, length of a FASTA file: each sequence is a row of text, from one header to the next.
 
-    Files may be of any size; a single sequence has to stay well under 2 GiB, the limit of a value.
+    Files may be of any size; a single sequence has to stay well under 2 GiB, the limit of a value. Of a FASTA index
+    (``.fai``), which has a line a sequence, the first two columns are the answer.
     """
+    if fasta.endswith(".fai"):
+        return spark.read.csv(fasta, sep="\t", schema="chrom string, length bigint")
     rows = spark.read.text(fasta, lineSep="\n>")
     head = F.rtrim(F.substring_index("value", "\n", 1), F.lit("\r"))
     letters = F.replace(F.replace("value", F.lit("\n")), F.lit("\r"))
@@ -30,8 +34,10 @@ def chrom_sizes(spark: SparkSession, fasta: str) -> DataFrame:
     return named.where("chrom <> ''")
 
 
-def gc_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep=" ", schema="chrom string, start bigint, end bigint, gc double")
+def gc_table(spark: SparkSession, path: str, fraction: bool = False) -> DataFrame:
+    """chrom, start, end, gc in percent, or as a fraction of 1."""
+    table = spark.read.csv(path, sep=" ", schema="chrom string, start bigint, end bigint, gc double")
+    return table.withColumn("gc", F.col("gc") / 100) if fraction else table
 
 
 def bins_table(spark: SparkSession, path: str) -> DataFrame:
@@ -111,5 +117,18 @@ def bam_reads(spark: SparkSession, *paths: str, pattern: str = "*.bam") -> DataF
     return named.select("cell", "content").mapInPandas(run, READS)
 
 
+def grouped_reads(**groups: DataFrame) -> DataFrame:
+    """Reads of several groups of samples, such as tumour and control, as one table with a column ``group``."""
+    tables = [reads.withColumn("group", F.lit(name)) for name, reads in groups.items()]
+    return reduce(DataFrame.unionByName, tables)
+
+
+def bin_annotations(bins: DataFrame, gc: DataFrame, mapp: DataFrame) -> DataFrame:
+    """``bins`` with gc and mapp. The three have to describe the same bins: a missing or an extra one is an error."""
+    both = bins.join(gc.select("chrom", "start", "end", "gc"), ["chrom", "start", "end"], "full").join(mapp.select("bin_id", "mapp"), "bin_id", "full")
+    whole = F.col("bin_id").isNotNull() & F.col("chrom").isNotNull() & F.col("gc").isNotNull() & F.col("mapp").isNotNull()
+    return both.select("bin_id", "chrom", "start", "end", "gc", F.when(whole, F.col("mapp")).otherwise(F.raise_error(F.lit("bins, gc and mappability describe different bins"))).alias("mapp"))
+
+
 def natural_order(df: DataFrame) -> DataFrame:
     return df.orderBy(chrom_number(F.col("chrom")), "start")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from genoframe.operators import genome
 
 BIN = 30
-LENGTH = 2520
+LENGTH = 2520  # days of the tables' span from 1995 on, rounded up to bins
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,9 +34,12 @@ def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain.join(facts, "bin_id", "left")
 
 
-def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mask(spark: SparkSession, sf_dir: str, quantile: float = 0.98) -> DataFrame:
+    """Three days from each of the busiest days: those whose number of orders reaches the quantile of all days."""
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("long")
-    return read(spark, sf_dir, "orders").where("o_orderkey % 200 = 0").select(F.lit("chr1").alias("chrom"), day.alias("start"), (day + 3).alias("end")).distinct()
+    by_day = read(spark, sf_dir, "orders").groupBy(day.alias("start")).agg(F.count("*").alias("n"))
+    bar = by_day.agg(F.round(F.percentile("n", quantile), 9).alias("bar"))
+    return by_day.join(F.broadcast(bar)).where("n >= bar").select(F.lit("chr1").alias("chrom"), "start", (F.col("start") + 3).alias("end"))
 
 
 def cell_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,150 @@
+"""Sources, sinks, the command line, and the steps that SQL does not cover."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+import numpy as np
+import pytest
+
+from genoframe.operators import cluster, correct, intervals, qc
+from genoframe.params import Params
+from genoframe.plans import pipeline
+from genoframe.sources import files, sinks
+
+READS = files.READS
+
+
+def test_reference_tables(spark, tmp_path):
+    write = lambda name, text: (tmp_path / name).write_text(text) and str(tmp_path / name)
+    plain = spark.createDataFrame([(0, "chr1", 1, 10), (1, "chr1", 11, 20)], "bin_id int, chrom string, start long, end long")
+    gc = write("gc.bed", "chr1 1 10 40.5\nchr1 11 20 60\n")
+    assert [r["gc"] for r in files.gc_table(spark, gc).orderBy("start").collect()] == [40.5, 60.0]
+    assert [r["gc"] for r in files.gc_table(spark, gc, fraction=True).orderBy("start").collect()] == [0.405, 0.6]
+    mapp = files.mappability(spark, write("mapp.tab", "0.5\n1\n"), plain)
+    assert sorted(map(tuple, mapp.collect())) == [(0, 0.5), (1, 1.0)]
+    assert sorted((r["bin_id"], r["gc"], r["mapp"]) for r in files.bin_annotations(plain, files.gc_table(spark, gc), mapp).collect()) == [(0, 40.5, 0.5), (1, 60.0, 1.0)]
+    short = files.gc_table(spark, write("short.bed", "chr1 1 10 40.5\n"))
+    with pytest.raises(Exception, match="different bins"):
+        files.bin_annotations(plain, short, mapp).collect()
+    assert [tuple(r) for r in files.mask(spark, write("mask.bed", "chr1\t0\t9\ta\tb\tc\n")).collect()] == [("chr1", 1, 9)]
+    assert sorted(r["cell"] for r in files.normal_cells(spark, write("n.txt", "a\nb\na\n")).collect()) == ["a", "b"]
+    assert sorted(map(tuple, files.cell_nodes(spark, write("nodes.tsv", "a\tx\nb\ty\na\tz\n")).collect())) == [("a", "z"), ("b", "y")]
+    assert sorted(map(tuple, files.bias_file(spark, write("bias.txt", "1.5 0.5\n2\n")).collect())) == [(0, 1.5), (1, 0.5), (2, 2.0)]
+    assert sorted(map(tuple, files.chrom_sizes(spark, write("g.fa.fai", "chr1\t100\t6\t60\t61\nchr2\t50\t1\t1\t1\n")).collect())) == [("chr1", 100), ("chr2", 50)]
+
+
+def test_coverage_round_trip(spark, tmp_path):
+    bins = spark.createDataFrame([(0, "chr1", 1, 10), (1, "chr1", 11, 20)], "bin_id int, chrom string, start long, end long")
+    counts = spark.createDataFrame([(c, b, n) for c, ns in (("a", (3, 0)), ("b", (5, 7))) for b, n in enumerate(ns)], "cell string, bin_id int, n long")
+    sinks.write_coverage(counts, bins, str(tmp_path / "cov"))
+    got = files.coverage(spark, str(tmp_path / "cov")).collect()
+    assert sorted((r["cell"], r["start"], r["n"]) for r in got) == [("a", 1, 3), ("a", 11, 0), ("b", 1, 5), ("b", 11, 7)]
+    sinks.write_raw_counts(counts, str(tmp_path / "raw"), as_text=True)
+    assert sorted(map(tuple, spark.read.csv(str(tmp_path / "raw"), header=True).collect())) == [("0", "7"), ("3", "5")]
+    sinks.write_corrected(counts.selectExpr("cell", "bin_id", "n * 1.5D as value"), str(tmp_path / "rd"), as_text=True)
+    assert sorted(map(tuple, spark.read.csv(str(tmp_path / "rd"), header=True).collect())) == [("a", "4.5", "0.0"), ("b", "7.5", "10.5")]
+
+
+def test_calls_in_order(spark, tmp_path):
+    calls = spark.createDataFrame([(c, b, 2 + b) for c in "abcd" for b in range(2)], "cell string, bin_id int, cn int")
+    order = spark.createDataFrame([("a", 2, True), ("b", 1, False), ("c", 0, False), ("d", 1, False)], "cell string, cluster int, is_normal boolean")
+    pipeline.write_calls(calls, str(tmp_path / "rows"), order=order)
+    pipeline.write_calls(calls, str(tmp_path / "columns"), transposed=True, order=order)
+    lines = [line.split(",") for f in sorted((tmp_path / "rows").glob("part*")) for line in f.read_text().split()]
+    assert [x[0] for x in lines if x[0] != "cell"] == ["c", "b", "d", "a"]
+    lines = [f.read_text().split() for f in sorted((tmp_path / "columns").glob("part*"))]
+    assert lines[0][0] == "bin_id,c,b,d,a" and lines[0][1] == "0,2,2,2,2"
+
+
+def test_tumour_and_control(spark):
+    one = spark.createDataFrame([("a", "chr1", 1, 2, 60, 65, 1)], READS)
+    two = spark.createDataFrame([("b", "chr1", 1, 2, 60, 65, 1)], READS)
+    assert sorted((r["cell"], r["group"]) for r in files.grouped_reads(tumour=one, control=two).collect()) == [("a", "tumour"), ("b", "control")]
+
+
+def test_masked_reads_of_all_lengths(spark):
+    """Reads longer than a coarse cell, unmapped ones and touching intervals, by lists and by keys."""
+    rng = np.random.default_rng(0)
+    reads = [("a", "chr1" if i % 9 else None, int(s), int(s + n), i, 0, 1) for i, (s, n) in enumerate(zip(rng.integers(0, 2000, 300), rng.integers(1, 60, 300), strict=True))]
+    spans = [("chr1", int(s), int(s + n)) for s, n in zip(rng.integers(0, 2000, 12), rng.integers(1, 40, 12), strict=True)] + [("chr2", 0, 3000)]
+    frame, mask = spark.createDataFrame(reads, READS), spark.createDataFrame(spans, "chrom string, start long, end long")
+    want = {r[4] for r in reads if not any(r[1] == c and r[2] < e and r[3] > s for c, s, e in spans)}
+    for limit in (100, 0):
+        for width in (8, 1 << 20):
+            assert {r["mapq"] for r in intervals.drop_masked(frame, mask, width=width, limit=limit).collect()} == want
+
+
+@pytest.mark.parametrize("k", [None, 3])
+def test_ward_in_rounds_is_exact(spark, k):
+    """With many more cells than a task holds, the labels are those of one dendrogram over all of them."""
+    rng = np.random.default_rng(2)
+    points = np.concatenate([rng.normal(c, 0.4, (n, 5)) for c, n in ((0, 120), (3, 60), (5, 90), (9, 30))])
+    prints = spark.createDataFrame([(i, b, float(x)) for i, p in enumerate(points) for b, x in enumerate(p)], "cell long, bin_id int, f double")
+    merges = cluster.ward_merges(points, np.ones(len(points)))
+    got = cluster.ward_labels(prints, 6.0, 2.0, k=k, max_cells=40, block=70).toPandas().sort_values("cell")
+    if k:
+        assert got["label"].tolist() == cluster.cut(len(points), merges, k=k).tolist()
+    else:
+        assert got["first"].tolist() == cluster.cut(len(points), merges, 6.0).tolist()
+        assert got["second"].tolist() == cluster.cut(len(points), merges, 2.0).tolist() and got["second"].nunique() > got["first"].nunique()
+
+
+def test_ward_rounds_with_copies(spark):
+    """Equal cells tie at distance 0; text ids are numbered by their order."""
+    prints = spark.createDataFrame([(f"c{i:03d}", b, float(i % 4 + b)) for i in range(60) for b in range(3)], "cell string, bin_id int, f double")
+    got = cluster.ward_labels(prints, k=4, max_cells=10, block=16).toPandas().sort_values("cell")
+    assert got["label"].tolist() == [i % 4 for i in range(60)]
+
+
+def test_normals_are_the_last_cluster(spark):
+    labels = spark.createDataFrame([("a", 0), ("b", 1)], "cell string, first int")
+    got = cluster.with_normals(labels, spark.createDataFrame([("n",)], "cell string"), "first")
+    assert sorted(map(tuple, got.collect())) == [("a", 0, False), ("b", 1, False), ("n", 2, True)]
+
+
+def test_loadings_membership_and_zero_factors(spark):
+    loadings = spark.createDataFrame([(i, x) for i, x in enumerate([-0.9, 0.1, 0.2, 0.3, 0.5])], "bin_id int, loading double")
+    assert sorted(r["bin_id"] for r in correct.informative_bins(loadings).collect()) == [2, 3, 4]
+    assert sorted(r["bin_id"] for r in correct.informative_bins(loadings, mode="abs").collect()) == [0, 3, 4]
+    counts = spark.createDataFrame([(c, b, n) for c, n in (("a", 4), ("b", 8), ("z", 0)) for b in range(12)], "cell string, bin_id int, n long")
+    listed = correct.normal_cells(counts, counts, listed=spark.createDataFrame([("b",), ("other",)], "cell string"))
+    assert [r["cell"] for r in listed.collect()] == ["b"]
+    reads = spark.createDataFrame([(c, "chr1", 1, 2, 60, 65, 1) for c in "abz"], READS)
+    bins = spark.createDataFrame([(b, "chr1", b * 10 + 1, b * 10 + 10, 50.0, 1.0) for b in range(12)], "bin_id int, chrom string, start long, end long, gc double, mapp double")
+    kept = pipeline.quality_controlled(counts, reads, bins, replace(Params(), min_mean=-1.0, min_total=-1.0))
+    assert qc.size_factors(counts).where("cell = 'z'").first()["factor"] == 0
+    assert {r["cell"] for r in kept.collect()} == {"a", "b"}
+
+
+def test_fallback_keeps_the_diploid_cluster(spark):
+    """Too few calm cells: of two clusters the one whose ploidy lies in the band is normal."""
+    rng = np.random.default_rng(1)
+    level = lambda i: np.repeat([1.0, 1.0, 1.0], 30) if i < 15 else np.repeat([0.5, 1.0, 1.5], 30)
+    rows = [(f"c{i:02d}", b, float(y)) for i in range(30) for b, y in enumerate(level(i) + rng.normal(0, 0.02, 90))]
+    got = pipeline.split_by_ploidy(spark.createDataFrame(rows, "cell string, bin_id int, y double"), replace(Params(), grid_first=1.8, grid_size=20))
+    assert {r["cell"] for r in got.collect()} >= {f"c{i:02d}" for i in range(15)}
+
+
+def test_command_line(spark, tmp_path):
+    """From files to files, on planted clones."""
+    from genoframe.__main__ import run
+
+    rng = np.random.default_rng(3)
+    n, size = 90, 100
+    truth = {f"n{i:02d}": np.full(n, 2) for i in range(24)} | {f"t{i:02d}": np.repeat([2, 4, 3], n // 3) for i in range(8)}
+    rows = [(c, "chr1", b * size + int(p), b * size + int(p) + 2, 60, 65, 2) for c, cn in truth.items() for b, k in enumerate(rng.poisson(60 * cn / 2)) for p in rng.integers(1, size - 4, k)]
+    spark.createDataFrame(rows, READS).write.parquet(str(tmp_path / "reads"))
+    (tmp_path / "g.fai").write_text(f"chr1\t{n * size}\t0\t60\t61\n")
+    (tmp_path / "gc").write_text("".join(f"chr1 {b * size + 1} {(b + 1) * size} 50\n" for b in range(n)))
+    (tmp_path / "mapp").write_text("1\n" * n)
+    (tmp_path / "normal").write_text("".join(f"{c}\n" for c in truth if c[0] == "n"))
+    (tmp_path / "nodes").write_text("t00\tleft\n")
+    path = lambda name: str(tmp_path / name)
+    argv = ["--reads", path("reads"), "--sizes", path("g.fai"), "--gc", path("gc"), "--mappability", path("mapp"), "--normal-cells", path("normal"), "--cell-nodes", path("nodes"), "--output", path("out")]
+    called = run(spark, [*argv, "--bin-size", str(size), "--ward-first", "6", "--ward-second", "6", "--mad-times", "1000"]).toPandas()
+    assert np.mean([r.cn == truth[r.cell][r.bin_id] for r in called.itertuples()]) > 0.95
+    wide = spark.read.csv(path("out/CNV_sample.csv"), header=True)
+    assert wide.count() == len(truth) and "left_t00" in {r["cell"] for r in wide.select("cell").collect()} and len(wide.columns) == n + 1
+    assert files.coverage(spark, path("out/genome_cov.bed")).count() == len(truth) * n
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {"Y_raw.parquet", "QCmetric_raw.csv", "genome_cov.bed", "RDmatrix.parquet", "calls.parquet", "CNV_sample.csv", "CNV_sample.csv.T", "bins.csv"}
