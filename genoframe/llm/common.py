@@ -46,7 +46,7 @@ def map_texts(df: DataFrame, inputs: list[str | Column], make: Callable, schema:
     return source.mapInArrow(run, StructType([*[df.schema[c] for c in keep], *new.fields]))
 
 
-def join_small(left: DataFrame, right: DataFrame, on, how: str, limit: int = 1_000_000) -> DataFrame:
+def join_small(left: DataFrame, right: DataFrame, on, how: str, limit: int = 100_000) -> DataFrame:
     """Join with a table that is usually small: broadcast below ``limit`` rows (counted), shuffled from there on.
 
     ``right`` should have been saved, as it is read twice. Its rows must be of bounded width.

@@ -50,7 +50,7 @@ class Settings:
     least_steps: int = 250
     rate: float = 0.3
     sample: int = 4000  # labelled documents to learn from, about
-    sample_bytes: int = 256 << 20  # and bytes of their texts at most
+    sample_bytes: int = 64 << 20  # and bytes of their texts at most
     batch: int = 32
     seed: int = 7
     least_docs: int = 1  # n-grams of fewer training documents are not learned: they could only be learned by heart
