@@ -2,6 +2,12 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
 stage's ``docs``. All stages but the last return the columns of ``documents``.
+
+Defined cases, on which each stage's operator says more: documents with null or empty texts fail the quality rules;
+very long texts go through every stage whole; null and repeated doc_ids are documents of their own, of which only equal
+rows count as one in near duplicates; ties (which copy stays, which run is first) go to the least doc_id, null first in
+lines and last in near duplicates; an empty table gives an empty result; other columns of ``documents`` are passed
+through by all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
