@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from genoframe.llm import html_extract, jaccard_join, line_dedup, media, mixing, quality_rules, sentencepiece_bpe, subword, warc
+from genoframe.llm import filter_audit, html_extract, jaccard_join, line_dedup, media, mixing, quality_rules, sentencepiece_bpe, subword, warc, word_bpe
 
 QUERIES = {
     "op1_toxicity": subword.op1,
@@ -17,6 +17,8 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8,
     "op9_quality_rules": quality_rules.op9,
     "op10_html_extract": html_extract.op10,
+    "op12_word_bpe": word_bpe.op12,
+    "op13_filter_audit": filter_audit.op13,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -25,4 +27,5 @@ ORACLES = {
     "op3_mixing": mixing.SQL,
     "op8_line_dedup": line_dedup.SQL,
     "op9_quality_rules": quality_rules.SQL,
+    "op13_filter_audit": filter_audit.SQL,
 }

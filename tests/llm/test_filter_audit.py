@@ -1,0 +1,77 @@
+"""Operator 13 against SQL, and against a loop over documents with odd rows."""
+
+from __future__ import annotations
+
+import re
+from collections import Counter, defaultdict
+from itertools import permutations
+
+from genoframe.llm import filter_audit
+from genoframe.session import Scratch
+
+COLUMNS = ["part", "filter_order", "step", *filter_audit.KINDS, "shapley"]
+
+
+def test_sql(same):
+    same(filter_audit.op13, filter_audit.SQL)
+
+
+def plain(docs: list[tuple], labels: list[tuple]) -> set:
+    """A loop over all documents, orders and steps; docs are (doc_id, text, part)."""
+    least = {}
+    for i, t, _ in docs:
+        if i is not None:
+            least[t or ""] = min(least.get(t or "", i), i)
+    out, share = defaultdict(Counter), Counter()
+    for i, t, part in docs:
+        t, part = t or "", part or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        fails = {"A": len(words) < 200, "B": 100 * len(set(words)) < 50 * len(words), "C": 100 * len(re.findall("[A-Z]", t)) > 3 * len(t), "D": bool(re.search(r"[#$%&*|]", t)), "E": i is not None and i > least[t]}
+        good, toxic = (i is not None and any(x[0] == i and x[k] == 1 for x in labels) for k in (1, 2))
+        for order in map("".join, permutations("ABCDE")):
+            gone = False
+            for k, f in enumerate(order):
+                c, removed = out[part, order, k + 1], fails[f] and not gone
+                c["kept"] += not (gone or fails[f])
+                c["removed"] += removed
+                c["redundant"] += fails[f] and gone
+                c["unique_fails"] += fails[f] and sum(fails.values()) == 1
+                c["good_lost"] += removed and good
+                c["toxic_lost"] += removed and toxic
+                share[part, f] += removed
+                gone |= fails[f]
+    return {(*key, *(c[k] for k in filter_audit.KINDS), share[key[0], key[1][key[2] - 1]]) for key, c in out.items()}
+
+
+LONG = " ".join(f"w{n}" for n in range(40_000))
+DOCS = [(1, "Some few words", "en"), (7, "Some few words", "en"), (7, "Some few words", "de"), (3, "Some few words", None), (None, "Some few words", "en"), (None, None, ""), (4, None, "en"), (5, "", "en"), (6, LONG, "en"), (8, LONG, "en"), (9, "a b " * 150, "fr"), (9, "a b " * 150, "fr"), (10, "ABC " * 220, "fr"), (11, "x # $ | y", None), (2**60, " \n\t", "x"), (12, " ".join(f"v{n}" for n in range(300)) + " &", "en")]
+LABELS = [(1, 1, 0), (7, 1, 1), (7, 0, 0), (None, 1, 1), (9, 0, 1), (6, None, 1), (12, 1, 0)]
+
+
+def frames(spark, docs):
+    rows = [(i, t, p, "c", "c", "c", 1) for i, t, p in docs]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, part string, `_n` string, `a.b` string, kept int"), spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
+
+
+def test_odd_rows(spark, monkeypatch):
+    docs, labels = frames(spark, DOCS)
+    got = filter_audit.audit(filter_audit.masks(docs, labels, Scratch(spark)))
+    assert got.columns == COLUMNS
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == 600 * 5 and set(rows) == plain(DOCS, LABELS)
+    empty, _ = frames(spark, [])
+    assert filter_audit.audit(filter_audit.masks(empty, labels, Scratch(spark))).count() == 0
+
+
+def test_many_parts_and_large_counts(spark):
+    rows = [(f"p{n % 1201}", n % 32, n % 3 == 0, False, 2**40 + n) for n in range(4000)]
+    frame = spark.createDataFrame(rows, "_part string, _mask int, _good boolean, _toxic boolean, _n long")
+    got = {(r["part"], r["filter_order"], r["step"]): r for r in filter_audit.audit(frame).where("filter_order in ('ABCDE', 'EDCBA')").collect()}
+    assert len(got) == 1201 * 10
+    for order in ("ABCDE", "EDCBA"):
+        want = Counter()
+        for part, mask, _, _, n in rows:
+            for k in range(5):
+                before = sum(1 << "ABCDE".index(f) for f in order[: k + 1])
+                want[part, k + 1] += n * (mask & before == 0)
+        assert all(got[p, order, k]["kept"] == n for (p, k), n in want.items())
