@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from genoframe.llm import filter_audit, html_extract, jaccard_join, line_dedup, media, mixing, quality_rules, sentencepiece_bpe, subword, warc, word_bpe
+from genoframe.llm import filter_audit, html_extract, jaccard_join, line_dedup, media, mixing, quality_rules, sentencepiece_bpe, spelling, subword, warc, word_bpe
 
 QUERIES = {
     "op1_toxicity": subword.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8,
     "op9_quality_rules": quality_rules.op9,
     "op10_html_extract": html_extract.op10,
+    "op11_spelling": spelling.op11,
     "op12_word_bpe": word_bpe.op12,
     "op13_filter_audit": filter_audit.op13,
     "pipeline": corpus_pipeline.run,
