@@ -69,6 +69,17 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, hot_share: float = 1e-
     return by_map.unionByName(rest.join(cold, key))
 
 
+def save_lean(scratch: Scratch, df: DataFrame) -> DataFrame:
+    """``scratch.save``, after which the shuffle files of the write are deleted at once: the table is read instead."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = scratch.spark.conf.get(setting)
+    scratch.spark.conf.set(setting, "true")
+    try:
+        return scratch.save(df)
+    finally:
+        scratch.spark.conf.set(setting, before)
+
+
 def key64(*cols: Column | str) -> Column:
     return F.xxhash64(*cols)
 

@@ -12,7 +12,7 @@ Two words with one edit have a long common beginning or a long common end. There
 reversed words, and in each a word enters halfway down: above that no edit is made, so the crowded top is never branched
 over. A replacement is joined on the code point after it as well, which an edge knows from its label or, if that is one
 code point long, from the first code points under its child; so few states are made that die in the next level. Nodes
-are prefixes of words; over KEY code points, their digest.
+are hashes of prefixes; two that clash only add candidates, since each pair found is compared in the end.
 
 A (node, code point) has one edge for exact steps, and for replacements one for each code point at most, so a hot node
 is a skewed left side alone, which adaptive execution splits; a frontier of few rows is broadcast, so that late levels
@@ -27,26 +27,25 @@ columns of the documents are ignored, whatever their names.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genoframe.llm.common import Scratch, join_hot, table
+from genoframe.llm.common import Scratch, join_hot, save_lean, table
 
 RUN = r"[A-Za-zÀ-ÿ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-KEY = 32
 NOISE = 31
 
 #: A frontier of so many rows at most is broadcast; its rows are as long as words are.
 FEW = 50_000
 
-EDGE = ["label", "child", "heads", "ends", "ends_n"]
-PAIR = ["word", "n", "ends as other", "ends_n as other_n"]
+#: Whether what is left of a word goes on with a label, or is it where the label ends a word.
+FITS = "if(other is null, startswith({rest}, {label}), {rest} = {label})"
 
 
 def noisy_words(docs: DataFrame, noise: int = NOISE) -> DataFrame:
@@ -59,18 +58,14 @@ def noisy_words(docs: DataFrame, noise: int = NOISE) -> DataFrame:
     return summed.select(F.when(F.col("_h") % noise == 0, less).otherwise(F.col("_w")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def key_of(word: str) -> str:
-    return word if len(word) <= KEY else "#" + hashlib.sha256(word.encode()).hexdigest()
-
-
 def prefixes(words: DataFrame) -> DataFrame:
-    """key, side, at, node, next, word, n: the lower half of each word's path in both tries; the last three at its end.
+    """id, side, at, node, next: the lower half of each word's path in both tries, ``next`` being the code point after.
 
-    ``next`` is the code point after the prefix, empty at the word's end.
+    The last row is the word's end; its ``next`` is 0. Side 0 is the trie of words, side 1 that of reversed words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.string()), ("side", pa.string()), ("at", pa.int32()), ("node", pa.string()), ("next", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+        schema = pa.schema([("id", pa.int64()), ("side", pa.int32()), ("at", pa.int32()), ("node", pa.int64()), ("next", pa.int32())])
         out = []
 
         def full() -> pa.RecordBatch:
@@ -79,83 +74,79 @@ def prefixes(words: DataFrame) -> DataFrame:
             return b
 
         for b in batches:
-            for word, n in zip(b["word"].to_pylist(), b["n"].to_pylist(), strict=True):
-                key, m = key_of(word), len(word)
-                for side, path, start in ((">", word, m // 2), ("<", word[::-1], m - m // 2)):
-                    digest = hashlib.sha256(path[:start].encode()) if m > KEY else None
-                    for at in range(start, m + 1):
-                        if digest and at > start:
-                            digest.update(path[at - 1].encode())
-                        node = side + path[:at] if at <= KEY else f"{side}#{digest.copy().hexdigest()}"
-                        out.append((key, side, at, node, path[at], None, None) if at < m else (key, side, at, node, "", word, n))
-                        if len(out) >= 20_000:
+            for i, word in zip(b["id"].to_pylist(), b["word"].to_pylist(), strict=True):
+                m = len(word)
+                for side, path, start in ((0, word, m // 2), (1, word[::-1], m - m // 2)):
+                    digest = xxhash.xxh64(path[:start].encode(), seed=side)
+                    for at, c in enumerate(path[start:], start):
+                        out.append((i, side, at, digest.intdigest() - 2**63, ord(c)))
+                        digest.update(c.encode())
+                        if len(out) >= 50_000:
                             yield full()
+                    out.append((i, side, m, digest.intdigest() - 2**63, 0))
         if out:
             yield full()
 
-    return words.select("word", "n").mapInArrow(run, "key string, side string, at int, node string, next string, word string, n long")
+    return words.select("id", "word").mapInArrow(run, "id long, side int, at int, node long, next int")
 
 
 def trie(words: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The edges of both tries, and the states of words on their own paths.
 
-    edges: node, head (first code point of the label), label, child; of the child: heads (first code points under it),
-    word and n if it ends a word. states: word, n, node, rest (of the word, reversed in the second trie), and the node's
-    word and n.
+    edges: node, head (first code point of the label), label, child. An edge to a leaf has the leaf's word (``other``) in
+    place of a child, and so has an edge without label of each other node that ends a word. states: word, node, rest (of
+    the word, reversed in the second trie).
     """
-    path = scratch.save(prefixes(words))
-    nodes = path.groupBy("node").agg(F.array_sort(F.collect_set("next")).alias("heads"), F.max("word").alias("word"), F.max("n").alias("n"), F.count("*").alias("uses"))
-    nodes = scratch.save(nodes.where("size(heads) > 1 or word is not null"))
-    on_path = join_hot(path.select("key", "side", "at", "node"), nodes.withColumnRenamed("word", "ends").withColumnRenamed("n", "ends_n"), "node")
-    stops = on_path.groupBy("key", "side").agg(F.array_sort(F.collect_list(F.struct("at", "node", "heads", "ends", "ends_n"))).alias("stops"))
-    keyed = words.select("word", "n", F.when(F.length("word") <= KEY, F.col("word")).otherwise(F.concat(F.lit("#"), F.sha2(F.col("word"), 256))).alias("key"))
-    paths = scratch.save(keyed.join(stops, "key").select("word", "n", "stops", F.when(F.col("side") == ">", F.col("word")).otherwise(F.reverse("word")).alias("path")))
-    pairs = F.expr("filter(transform(stops, (b, i) -> struct(if(i = 0, null, stops[i - 1]) as a, b as b)), s -> s.a is not null)")
-    steps = paths.select("path", F.explode(pairs).alias("s"))
-    label = F.expr("substring(path, s.a.at + 1, s.b.at - s.a.at)")
-    each = steps.select(F.col("s.a.node").alias("node"), label.alias("label"), F.col("s.b.node").alias("child"), F.col("s.b.heads").alias("heads"), F.col("s.b.ends").alias("ends"), F.col("s.b.ends_n").alias("ends_n"))
-    edges = each.groupBy("node", F.substring("label", 1, 1).alias("head")).agg(*[F.first(c).alias(c) for c in EDGE])
-    at = F.explode("stops").alias("s")
-    states = paths.select("word", "n", "path", at).select("word", "n", F.col("s.node").alias("node"), F.expr("substring(path, s.at + 1, length(path))").alias("rest"), F.col("s.ends").alias("ends"), F.col("s.ends_n").alias("ends_n"))
-    return scratch.save(edges), states.where("rest <> ''")
-
-
-def step(frontier: DataFrame, edges: DataFrame, on: list[str], matches: str, left: str) -> DataFrame:
-    """One level: states whose ``matches`` holds for an edge move to its child with ``left`` of their word."""
-    there = frontier.join(edges, on).where(matches)
-    moved = there.select("word", "n", F.col("child").alias("node"), F.expr(left).alias("rest"), "heads", "ends", "ends_n")
-    return moved.where("if(rest = '', ends is not null, array_contains(heads, substring(rest, 1, 1)))").drop("heads")
+    path = save_lean(scratch, prefixes(words))
+    nodes = path.groupBy("node").agg(F.min("next").alias("low"), F.max("next").alias("high"), F.count("*").alias("uses"))
+    nodes = save_lean(scratch, nodes.where("low <> high or low = 0").select("node", (F.col("high") == 0).alias("leaf"), "uses"))
+    on_path = join_hot(path.select("id", "side", "at", "node"), nodes, "node")
+    stops = on_path.groupBy("id", "side").agg(F.array_sort(F.collect_list(F.struct("at", "node", "leaf"))).alias("stops"))
+    paths = save_lean(scratch, words.select("id", "word").join(stops, "id").select("word", "stops", F.when(F.col("side") == 0, F.col("word")).otherwise(F.reverse("word")).alias("path")))
+    scratch.drop(path)
+    here = paths.select("word", "path", "stops", F.posexplode("stops").alias("k", "a")).withColumn("b", F.expr("get(stops, k + 1)"))
+    label = F.expr("if(b is null, '', substring(path, a.at + 1, b.at - a.at))")
+    each = here.where("not a.leaf").select(F.col("a.node").alias("node"), label.alias("label"), F.expr("if(b.leaf, null, b.node)").alias("child"), F.expr("if(b is null or b.leaf, word, null)").alias("other"))
+    edges = each.distinct().withColumn("head", F.substring("label", 1, 1))
+    states = here.where("b is not null").select("word", F.col("a.node").alias("node"), F.expr("substring(path, a.at + 1)").alias("rest"))
+    return save_lean(scratch, edges), states
 
 
 def neighbours(words: DataFrame, scratch: Scratch) -> DataFrame:
-    """word, n, other, other_n: pairs of words with one edit between them, each once in one of its two directions."""
+    """word, other: pairs of words with one edit between them, each once in one of its two directions."""
     edges, states = trie(words, scratch)
-    found = [states.where("length(rest) = 1 and ends is not null").selectExpr(*PAIR)]
-    second = F.when(F.length("label") > 1, F.array(F.substring("label", 2, 1))).otherwise(F.col("heads"))
-    states = states.drop("ends", "ends_n")
-    replaced = step(states.withColumn("second", F.substring("rest", 2, 1)), edges.withColumn("second", F.explode(second)), ["node", "second"], "head > substring(rest, 1, 1) and substring(label, 2, length(label)) = substring(rest, 2, length(label) - 1)", "substring(rest, length(label) + 1, length(rest))")
-    cut = states.where("length(rest) > 1 and substring(rest, 1, 1) <> substring(rest, 2, 1)").withColumn("rest", F.expr("substring(rest, 2, length(rest))"))
-    exact = (["node", "head"], "startswith(rest, label)", "substring(rest, length(label) + 1, length(rest))")
-    head = F.substring("rest", 1, 1)
-    frontier = scratch.save(replaced.unionByName(step(cut.withColumn("head", head), edges, *exact)))
+    # A replaced code point is followed by the second one of an edge, or by the head of one that its child has; a deleted
+    # one by the head: both are looked up by the code point after the edit.
+    long = edges.where("length(label) > 1").select("*", F.substring("label", 2, 1).alias("then"))
+    leaf = edges.where("length(label) = 1 and child is null").select("*", F.lit("").alias("then"))
+    short = edges.where("length(label) = 1").join(edges.select(F.col("node").alias("child"), F.col("head").alias("then")), "child").select(*edges.columns, "then")
+    index = long.unionByName(leaf).unionByName(short).withColumn("edit", F.lit("replace")).unionByName(edges.withColumn("then", F.col("head")).withColumn("edit", F.lit("delete")))
+    probes = states.withColumn("then", F.substring("rest", 2, 1)).join(index, ["node", "then"])
+    first, size = F.substring("rest", 1, 1), F.length("label")
+    replaced = (F.col("edit") == "replace") & (F.col("head") > first) & (F.expr(FITS.format(rest="substring(rest, 2)", label="substring(label, 2)")))
+    deleted = (F.col("edit") == "delete") & (F.col("then") != first) & F.expr(FITS.format(rest="substring(rest, 2)", label="label"))
+    begin = F.when(replaced, size + 1).otherwise(size + 2)
+    frontier = save_lean(scratch, probes.where(replaced | deleted).select("word", F.col("child").alias("node"), F.substring("rest", begin, F.length("rest")).alias("rest"), "other"))
+    found = []
     while True:
-        found.append(frontier.where("rest = ''").selectExpr(*PAIR))
-        going = frontier.where("rest <> ''").select("word", "n", "node", "rest", head.alias("head"))
+        found.append(frontier.where("other is not null").select("word", "other"))
+        going = frontier.where("other is null").select("word", "node", "rest", F.substring("rest", 1, 1).alias("head"))
         n = going.count()
         if not n:
             break
-        frontier = scratch.save(step(F.broadcast(going) if n <= FEW else going, edges, *exact))
-    return reduce(DataFrame.unionByName, found).distinct()
+        there = (F.broadcast(going) if n <= FEW else going).join(edges, ["node", "head"]).where(FITS.format(rest="rest", label="label"))
+        frontier = save_lean(scratch, there.select("word", F.col("child").alias("node"), F.expr("substring(rest, length(label) + 1)").alias("rest"), "other"))
+    return reduce(DataFrame.unionByName, found).where("levenshtein(word, other, 1) = 1").distinct()
 
 
 def roots(formed: DataFrame, scratch: Scratch) -> DataFrame:
     """word and form to word and root: the last form of the chain, the word itself if it has none."""
-    links = scratch.save(formed.where("form is not null").select("word", "form"))
+    links = save_lean(scratch, formed.where("form is not null").select("word", "form"))
     forward = links.select(F.col("word").alias("form"), F.col("form").alias("onward"))
     now = links
     while True:
         # Doubling would not be shorter: a chain has as many links as counts have digits.
-        after = scratch.save(now.join(forward, "form", "left").select("word", F.coalesce("onward", "form").alias("form"), F.col("onward").isNotNull().alias("_moved")))
+        after = save_lean(scratch, now.join(forward, "form", "left").select("word", F.coalesce("onward", "form").alias("form"), F.col("onward").isNotNull().alias("_moved")))
         moved = after.where("_moved").limit(1).count()
         now = after.drop("_moved")
         if not moved:
@@ -167,13 +158,15 @@ def variants(docs: DataFrame, scratch: Scratch, least_length: int = 7, least_n:
 
     The form is the near word of the largest n if that is ``times`` the word's own.
     """
-    words = scratch.save(noisy_words(docs, noise).where(F.length("word") >= least_length).where(F.col("n") >= least_n))
-    pairs = scratch.save(neighbours(words, scratch))
-    both = pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")))
+    words = noisy_words(docs, noise).where(F.length("word") >= least_length).where(F.col("n") >= least_n)
+    words = save_lean(scratch, words.withColumn("id", F.monotonically_increasing_id()))
+    pairs = save_lean(scratch, neighbours(words, scratch))
+    both = pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("word").alias("other")))
+    both = both.join(words.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other")
     near = both.groupBy("word").agg(F.count("*").alias("n_near"), F.max("other_n").alias("most"), F.min(F.struct(-F.col("other_n"), "other")).alias("best"))
     good = F.col("most") >= times * F.col("n")
     formed = words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(good, F.col("best.other")).alias("form"), F.when(good, F.col("most")).alias("form_n"))
-    formed = scratch.save(formed)
+    formed = save_lean(scratch, formed)
     return formed.join(roots(formed, scratch), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
