@@ -12,7 +12,7 @@ from genoframe.functions.scalar import bin_label, node_name
 from genoframe.operators import genome
 from genoframe.params import Params
 from genoframe.plans import pipeline
-from genoframe.sources import files, sinks
+from genoframe.sources import bam, files, sinks
 
 
 def parser() -> argparse.ArgumentParser:
@@ -44,7 +44,7 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> DataFrame:
     p = replace(Params(), paired=not a.single_end, **{f.name: getattr(a, f.name) for f in fields(Params) if f.name != "paired"})
     plain = genome.bins(genome.autosomes(files.chrom_sizes(spark, a.sizes), a.reference), p.bin_size)
     bins = files.bin_annotations(plain, files.gc_table(spark, a.gc), files.mappability(spark, a.mappability, plain))
-    reads = spark.read.schema(files.READS).parquet(a.reads) if a.reads else files.bam_reads(spark, *(a.bam_dirs or a.bam_list))
+    reads = spark.read.schema(files.READS).parquet(a.reads) if a.reads else bam.bam_reads(spark, *(a.bam_dirs or a.bam_list))
     optional = lambda read, path: read(spark, path) if path else None
     steps: dict[str, DataFrame] = {}
     called = pipeline.call_copy_numbers(reads, bins, p, optional(files.mask, a.mask), optional(files.normal_cells, a.normal_cells), optional(files.bias_file, a.bias), steps)

@@ -96,7 +96,7 @@ def parse_bam(file: BinaryIO) -> Iterator[tuple]:
 
 
 def bam_reads(spark: SparkSession, *paths: str, pattern: str = "*.bam") -> DataFrame:
-    """Reads of all BAM files in folders or of single files; one file is one task's work, as one file is one cell.
+    """Reads of BAM files without splits: one file is one task's work. For compressed data of any size see ``bam``.
 
     A task holds one packed file and 50,000 of its reads. A file has to stay under 2 GiB, the limit of a value.
     """

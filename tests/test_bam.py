@@ -1,0 +1,96 @@
+"""BAM files in splits against the reader of whole files."""
+
+from __future__ import annotations
+
+import io
+import random
+import struct
+import zlib
+
+import pytest
+
+from genoframe.sources import bam
+from genoframe.sources.files import READS, parse_bam
+
+
+def blocks(raw: bytes, rng: random.Random, largest: int) -> bytes:
+    """BGZF: blocks of random sizes, some empty, the last one the end mark."""
+    out, at = [], 0
+    while at <= len(raw):
+        data = raw[at : at + rng.randint(0, largest)] if at < len(raw) else b""
+        packer = zlib.compressobj(rng.choice([0, 6]), zlib.DEFLATED, -15)
+        body = packer.compress(data) + packer.flush()
+        out.append(bam.HEAD + bytes(5) + b"\xff" + bam.MARK + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data)))
+        if at == len(raw):
+            return b"".join(out)
+        at += len(data)
+    raise AssertionError
+
+
+def header(refs: list[str], text: bytes = b"@HD\tVN:1.6\n") -> bytes:
+    return b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(refs)) + b"".join(struct.pack("<i", len(r) + 1) + r.encode() + b"\0" + struct.pack("<i", 10**8) for r in refs)
+
+
+def record(rng: random.Random, refs: int, longest: int) -> bytes:
+    name = f"read{rng.randrange(10**6)}".encode() + b"\0"
+    length, ops = rng.randint(0, longest), [rng.randint(1, 90) << 4 | rng.randrange(9) for _ in range(rng.choice([0, 1, 1, 3, 40]))]
+    tags = b"XXZ" + rng.choice([b"", bam.MARK * 3, rng.randbytes(rng.randint(0, 50))]) + b"\0"
+    ref = rng.randrange(-1, refs)
+    fixed = struct.pack("<iiBBHHHiiii", ref, rng.randrange(-1, 10**7), len(name), rng.randrange(256), 0, len(ops), rng.randrange(4096), length, -1, -1, 0)
+    body = fixed + name + struct.pack(f"<{len(ops)}I", *ops) + rng.randbytes((length + 1) // 2) + bytes([30]) * length + tags
+    return struct.pack("<i", len(body)) + body
+
+
+@pytest.fixture(scope="module")
+def folder(tmp_path_factory):
+    """Files of many shapes: no reads, a header over many splits, records over many blocks and splits, MARK inside data."""
+    out, rng = tmp_path_factory.mktemp("bams"), random.Random(4)
+    shapes = {"none_1.bam": (0, 9, b"@HD\n"), "small,x.bam": (3, 50, b""), "wide_1.bam": (400, 150, b"@CO\tq\n" * 9000), "a cell%_2.bam": (2500, 120, b"@HD\n"), "long_1.bam": (60, 30_000, b"@HD\n"), "all_1.bam": (5, 9, b"")}
+    want = []
+    for name, (n, longest, text) in shapes.items():
+        refs = [f"chr{i}" for i in range(rng.randint(1, 30))]
+        raw = header(refs, text) + b"".join(record(rng, len(refs), longest) for _ in range(n))
+        (out / name).write_bytes(blocks(raw, rng, 4000))
+        cell = name.split(",")[0].split("_")[0].removesuffix(".bam")
+        want += [(cell, *r) for r in parse_bam(io.BytesIO((out / name).read_bytes()))] if cell != "all" else []
+    return out, want
+
+
+@pytest.mark.parametrize("split", ["2k", "37k", "128m"])
+def test_every_read_once(spark, folder, split):
+    path, want = folder
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        got = bam.bam_reads(spark, str(path))
+        assert got.schema.simpleString() == spark.createDataFrame([], READS).schema.simpleString()
+        key = lambda r: tuple(str(x) for x in r)
+        assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_damaged_files_are_errors(spark, folder, tmp_path):
+    good = (folder[0] / "wide_1.bam").read_bytes()
+    for n, bad in enumerate([good[:-60], good[: len(good) // 2], b"plain text", good.replace(b"BAM\1", b"BAX\1") if b"BAM\1" in good else b"\0" * 99, good[:5000] + b"\0\1\2" + good[5003:]]):
+        (tmp_path / f"d{n}").mkdir()
+        (tmp_path / f"d{n}" / "c.bam").write_bytes(bad)
+        with pytest.raises(Exception, match="BGZF|ends inside|BAM file|error -3|header of"):
+            bam.bam_reads(spark, str(tmp_path / f"d{n}")).count()
+
+
+def test_two_files_of_a_cell(spark, tmp_path):
+    for n in "12":
+        (tmp_path / f"c_{n}.bam").write_bytes(b"x")
+    with pytest.raises(ValueError, match="two files"):
+        bam.bam_reads(spark, str(tmp_path))
+
+
+def test_first_record_is_found_in_long_reads():
+    rng = random.Random(9)
+    parts = [record(rng, 3, 9000) for _ in range(40)]
+    data = b"".join(parts)
+    for cut in (1, 700, len(parts[0]) - 1):
+        assert bam.first_record(data[cut:]) == len(parts[0]) - cut
