@@ -48,10 +48,12 @@ from genoframe.llm.common import Scratch, map_texts, table
 
 # HTML's element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title noscript template iframe svg".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset(
+    "math maction merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics annotation".split()
+)
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-SKIPPED = frozenset("nav footer aside form script style noscript template iframe svg math object button select option textarea input dialog menu head title".split())
+SKIPPED = frozenset("nav footer aside form script style noscript template iframe svg button select option textarea input dialog menu head title".split())
 # Words of class and id attributes that name what is no main text, and words that go with them.
 NAMES = frozenset(
     "ad ads adv advert advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside "
@@ -60,8 +62,9 @@ NAMES = frozenset(
 )
 BESIDE = frozenset("site page main top bottom left right global primary secondary box bar block wrapper wrap container list links inner outer area section panel form buttons items js mobile desktop".split())
 READERS = frozenset("comment comments disqus reply replies respond".split())
+BESIDE_READERS = BESIDE | frozenset("user users reader readers thread threads count title heading author meta content body text date time avatar feed header footer item entry wp div li id s form field".split())
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>|</([a-zA-Z][^\s<>/]*)[^<>]*>|<([a-zA-Z][^\s<>/]*)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>|([^<]+|<)", re.S
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>|</([a-zA-Z][^\s<>/]*)[^<>]*>|<([a-zA-Z][^\s<>/]*)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>|([^<]+|<)", re.S
 )
 ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME = re.compile(r"[a-z]+|[0-9]+")
@@ -120,7 +123,7 @@ def parse(page: str | None) -> Node:
             names = ""
             if attrs:
                 names = " ".join(x for a in ATTR.findall(attrs) for x in NAME.findall((a[1] or a[2] or a[3]).lower()))
-            skipped = tag in SKIPPED or bool(attrs and named(attrs, tag)) or (tag == "header" and not at.framed)
+            skipped = tag in SKIPPED or bool(attrs and named(attrs, tag, at)) or (tag == "header" and not at.framed)
             node = Node(tag, names, skipped or at.skipped, at, framed=at.framed or tag in ("article", "main"))
             at.children.append(node)
             if not attrs.rstrip().endswith("/"):
@@ -144,22 +147,30 @@ def flat(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
-def named(attrs: str, tag: str) -> bool:
+def named(attrs: str, tag: str, at: Node) -> bool:
     """Whether a class, id or role names what is no main text: all its words do, but for those that go with them.
 
-    So ``site-header`` does, ``post-header`` and ``search-term`` do not. Readers' comments vary as content does, and
-    are known by a single word.
+    So ``site-header`` does, ``post-header`` and ``search-term`` do not; ``comment-list`` does, but ``comments-open``,
+    ``has-comments`` and ``no-reply`` say something about an article. Articles and the main part are never named so,
+    except an article within an article: that is how readers' comments are marked up.
     """
-    for a in ATTR.findall(attrs):
+    own = tag == "main" or (tag == "article" and not within(at, "article"))
+    for a in ATTR.findall(attrs) if not own else ():
         for value in (a[1] or a[2] or a[3]).lower().split():
             words = [w for w in NAME.findall(value) if w.isalpha()]
-            if not READERS.isdisjoint(words):
+            if not READERS.isdisjoint(words) and all(w in READERS or w in BESIDE_READERS for w in words):
                 return True
-            if tag not in ("main", "article") and not NAMES.isdisjoint(words) and all(w in NAMES or w in BESIDE for w in words):
+            if tag != "article" and not NAMES.isdisjoint(words) and all(w in NAMES or w in BESIDE for w in words):
                 return True
     return False
 
 
+def within(at: Node | None, tag: str) -> bool:
+    while at is not None and at.tag != tag:
+        at = at.parent
+    return at is not None
+
+
 def up_to(at: Node, tag: str, walls: frozenset) -> Node:
     """Above the nearest open ``tag``, unless a wall stands between; else where we are."""
     up = at

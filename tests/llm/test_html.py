@@ -162,7 +162,7 @@ def test_wrapper_against_brute_force(spark, plain):
 def test_names_in_classes():
     text = lambda page: H.main_text(page, None)[0]
     assert text('<article><p class="search-term">a</p><div class="post-header">b</div><div class="ad-banner">c</div></article>') == "a b"
-    assert text('<div class="site-header">a</div><div id="comments">b</div><p>c</p><div class="top-ads-box">d</div><main class="comments">e</main>') == "c"
+    assert text('<div class="site-header">a</div><div id="comments">b</div><p>c</p><div class="top-ads-box">d</div><main class="comments">e</main>') == "e"  # the main part stays, whatever it is called
 
 
 @pytest.mark.parametrize("piece", ["<a ", "<a x=\"", "<!", "</a", "<![CDATA[", "<a ''", "<p><b", "<", "&", "<div>", "</p><p>"])
@@ -183,3 +183,30 @@ def test_ids_and_other_columns(spark):
     texts = H.extract(spark.createDataFrame([(f"id{i}", *r[1:]) for i, r in enumerate(rows)], schema.format("string")))
     assert sorted(r["page_id"] for r in texts.collect()) == ["id0", "id1", "id2", "id3"]
     assert H.extract(spark.createDataFrame([], schema.format("long"))).collect() == []
+
+
+KEPT = [
+    '<article class="post comments-open">{}</article>',
+    '<div class="post has-comments">{}</div>',
+    '<article class="comment-closed reply"><p class="no-reply">{}</p></article>',
+    '<main id="respond"><p>{}</p></main>',
+    '<article><p>{}</p><article class="comment">left out</article><div class="comments-area"><div class="comment-body">left out</div></div><ol id="comment-list"><li>left out</li></ol></article>',
+]
+
+
+def test_words_about_comments_drop_no_article(spark):
+    """On hosts with a wrapper and without one; what readers wrote stays out."""
+    pages, texts = [], []
+    for host, (frame, n_pages) in enumerate((f, n) for f in KEPT for n in (2, 12)):
+        for n in range(n_pages):
+            texts.append(" ".join(f"word{host}x{n}x{k}" for k in range(30)))
+            pages.append((len(pages), f"http://h{host}/{n}", f'<html><body><nav class="menu"><a href="/">Home</a></nav>{frame.format(texts[-1])}<footer>Imprint</footer></body></html>'))
+    got = H.extract(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert [r["text"] for r in got.orderBy("page_id").collect()] == texts
+
+
+def test_inline_mathematics_objects_and_comment_ends():
+    text = lambda h: H.main_text(h, None)[0]
+    assert text("<p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> exactly</p>") == "Energy is E=m exactly"
+    assert text("<p>See <object data='x.pdf'>the paper</object> now</p>") == "See the paper now"
+    assert text("<p>a</p><!--><p>x</p><!-- y --><p>b</p><!---><p>c</p><!-- z --!><p>d</p>") == "a x b c d"
