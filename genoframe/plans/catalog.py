@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoframe.functions import scalar
-from genoframe.operators import cluster, correct, genome, intervals, ploidy, qc, segment
+from genoframe.operators import agreement, arcs, cluster, correct, genome, hmm, intervals, ploidy, qc, segment
 from genoframe.params import Params
 from genoframe.plans import pipeline
 from genoframe.plans.oracles import BINS, ORACLES  # noqa: F401
@@ -161,6 +161,26 @@ def _ward(d: Data) -> DataFrame:
     return cluster.ward_labels(_fingerprints(d), P.ward_first, P.ward_second, max_cells=P.max_cells)
 
 
+def _profiles(d: Data) -> DataFrame:
+    """Normalised values with their chromosomes, as sequences for segmentation."""
+    return d.norm().join(d.bins.select("bin_id", "chrom"), "bin_id").select("cell", "chrom", "bin_id", F.col("y").alias("value"))
+
+
+def _hmm(d: Data) -> DataFrame:
+    rows = d.scratch.save(hmm.sequences(_profiles(d)))
+    return hmm.segments(hmm.decode(rows, hmm.fit(rows, hmm.Start((0.6, 1.0, 1.4), 0.3, 0.95), d.scratch)))
+
+
+def _arcs(d: Data) -> DataFrame:
+    profiles = _profiles(d)
+    return arcs.segment_means(profiles, d.scratch.save(arcs.shared_segments(profiles)))
+
+
+def _agreement(d: Data) -> DataFrame:
+    nodes = d.labels().join(tables.cell_nodes(d.spark, d.dir), "cell", "left")
+    return agreement.adjusted_rand(nodes, "cluster", "node").select("cells", six("rand"), six("adjusted_rand"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bin_genome": _q(lambda d: named(genome.bins(d.sizes(), tables.BIN).select("chrom", "start", "end"))),
     "bin_running_id": _q(lambda d: genome.bins(d.sizes(), tables.BIN).select("bin_id", "chrom", scalar.bin_label(F.col("chrom"), F.col("start"), F.col("end")).alias("label"))),
@@ -217,6 +237,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "phased_genotype_filter": _q(_genotypes),
     "pca_loading": _q(_pca),
     "ward_clusters": _q(_ward),
+    "hmm_segments": _q(_hmm),
+    "shared_arc_segments": _q(_arcs),
+    "label_agreement": _q(_agreement),
     "fallback_split": _q(lambda d: pipeline.split_by_ploidy(d.norm(), P)),
     "pipeline_end_to_end": _q(lambda d: pipeline.call_copy_numbers(d.reads, d.bins, P, d.mask)),
 }

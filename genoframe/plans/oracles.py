@@ -65,6 +65,9 @@ bsum AS (SELECT bin_id, sum(n)::BIGINT AS n FROM counts GROUP BY bin_id),
 geno AS (SELECT 'chr' || (o_custkey % 25) AS chrom, o_orderkey AS pos, (CASE WHEN o_orderstatus = 'F' THEN '1' ELSE '0' END) || '|' || (CASE WHEN o_orderpriority < '3' THEN '1' ELSE '0' END) AS gt FROM orders)
 """
 
+#: Cells with both labels: their number's remainder and their nation.
+NODES = "(SELECT cell % 4 AS a, n_name AS b FROM cells JOIN supplier ON s_suppkey = cell JOIN nation ON n_nationkey = s_nationkey)"
+
 SELECTS = {
     "bin_genome": "SELECT chrom, s AS bin_start, e AS bin_end FROM gbins",
     "bin_running_id": "SELECT bin_id, chrom, chrom || ':' || s || '-' || e AS label FROM gbins",
@@ -118,6 +121,12 @@ SELECTS = {
     "snap_coordinates": "SELECT chrom, (round_even(s / 30, 0) * 30)::BIGINT + 1 AS bin_start, (round_even(e / 30, 0) * 30)::BIGINT AS bin_end FROM ivs",
     "paste_join": "SELECT bin_id, count(*) FILTER (WHERE flag >= 1024) AS n_returned, count(*) FILTER (WHERE flag < 1024) AS n_other FROM reads JOIN bins ON reads.s < bins.e AND reads.e > bins.s GROUP BY bin_id",
     "std_histogram": "SELECT floor(round(std / 0.01, 6))::INT AS bucket, count(*) AS cells FROM std GROUP BY ALL",
+    "label_agreement": "SELECT cells, round(coalesce((total + 2 * same - ones - twos) / nullif(total, 0), 1), 6) AS rand, "
+    "round(coalesce((same - coalesce(ones * twos / nullif(total, 0), 0)) / nullif((ones + twos) / 2 - coalesce(ones * twos / nullif(total, 0), 0), 0), 1), 6) AS adjusted_rand FROM ("
+    "SELECT sum(n)::BIGINT AS cells, sum(n * (n - 1) / 2)::DOUBLE AS same, (sum(n) * (sum(n) - 1) / 2)::DOUBLE AS total, "
+    f"(SELECT sum(n * (n - 1) / 2)::DOUBLE FROM (SELECT count(*) AS n FROM {NODES} GROUP BY a)) AS ones, "
+    f"(SELECT sum(n * (n - 1) / 2)::DOUBLE FROM (SELECT count(*) AS n FROM {NODES} GROUP BY b)) AS twos "
+    f"FROM (SELECT count(*) AS n FROM {NODES} GROUP BY a, b))",
     "phased_genotype_filter": "SELECT * FROM geno WHERE substr(chrom, 4)::INT BETWEEN 1 AND 22 AND gt IN ('1|0', '0|1')",
 }
 
