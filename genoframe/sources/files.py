@@ -71,7 +71,7 @@ def bias_file(spark: SparkSession, path: str) -> DataFrame:
 
 def coverage(spark: SparkSession, path: str) -> DataFrame:
     """Long counts (chrom, start, end, cell, n) of a tab-separated table with a column a cell."""
-    wide = spark.read.csv(path, sep="\t", header=True)
+    wide = spark.read.csv(path, sep="\t", header=True, maxColumns=1 << 20)
     cells = wide.columns[3:]
     typed = wide.select(F.col(wide.columns[0]).alias("chrom"), F.col(wide.columns[1]).cast("bigint").alias("start"), F.col(wide.columns[2]).cast("bigint").alias("end"), *[F.col(f"`{c}`").cast("bigint").alias(c) for c in cells])
     return typed.unpivot(["chrom", "start", "end"], cells, "cell", "n")

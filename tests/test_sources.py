@@ -6,6 +6,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from genoframe.operators import cluster, correct, intervals, qc
 from genoframe.params import Params
@@ -57,6 +58,33 @@ def test_calls_in_order(spark, tmp_path):
     assert lines[0][0] == "bin_id,c,b,d,a" and lines[0][1] == "0,2,2,2,2"
 
 
+def lines(path) -> list[list[str]]:
+    """Fields of all parts in their order; each part begins with the same names."""
+    parts = [f.read_text().splitlines() for f in sorted(path.glob("part*"))]
+    parts = [x for x in parts if x]
+    assert len({x[0] for x in parts}) == 1
+    return [x.split("\t" if "\t" in x else ",") for x in [parts[0][0], *[x for p in parts for x in p[1:]]]]
+
+
+def test_wide_tables_without_a_limit_of_columns(spark, tmp_path):
+    """More columns than a pivot allows, with values that are missing, null, or in no order."""
+    cells = spark.range(20_001).select(F.format_string("c%05d", "id").alias("cell"), F.explode(F.array(*map(F.lit, [3, 0, 1]))).alias("bin_id"), F.col("id").alias("n"))
+    counts = cells.where("not (bin_id = 3 and n % 1000 = 7)").withColumn("n", F.when(F.col("n") != 11, F.col("n"))).repartition(7)
+    bins = spark.createDataFrame([(b, "chr1", 10 * b + 1, 10 * b + 10) for b in range(4)], "bin_id int, chrom string, start long, end long")
+    sinks.write_coverage(counts, bins, str(tmp_path / "cov"))
+    got = lines(tmp_path / "cov")
+    assert got[0] == ["chrom", "start", "end", *[f"c{i:05d}" for i in range(20_001)]] and [x[:3] for x in got[1:]] == [["chr1", str(10 * b + 1), str(10 * b + 10)] for b in (0, 1, 3)]
+    assert got[1][3:] == ["" if i == 11 else str(i) for i in range(20_001)]
+    assert got[3][3:] == ["" if i == 11 or i % 1000 == 7 else str(i) for i in range(20_001)]
+    calls = spark.range(28_800).select(F.col("id").cast("int").alias("bin_id"), F.explode(F.array(F.lit("b"), F.lit('a"x'))).alias("cell"), (F.col("id") % 5).cast("int").alias("cn"))
+    pipeline.write_calls(calls, str(tmp_path / "cnv"))
+    got = lines(tmp_path / "cnv")
+    assert got[0] == ["cell", *map(str, range(28_800))] and [x[0] for x in got[1:]] == ['"a\\"x"', "b"] and got[2][1:] == [str(i % 5) for i in range(28_800)]
+    assert spark.read.csv(str(tmp_path / "cnv"), header=True, maxColumns=30_000).select("cell", "7").orderBy("cell").collect() == [('a"x', "2"), ("b", "2")]
+    sinks.write_corrected(spark.createDataFrame([], "cell string, bin_id int, value double"), str(tmp_path / "none"), as_text=True)
+    assert not any(f.read_text() for f in (tmp_path / "none").glob("part*"))
+
+
 def test_tumour_and_control(spark):
     one = spark.createDataFrame([("a", "chr1", 1, 2, 60, 65, 1)], READS)
     two = spark.createDataFrame([("b", "chr1", 1, 2, 60, 65, 1)], READS)
