@@ -228,7 +228,7 @@ def keep_first(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame
     best = named.groupBy("root").agg(F.min(F.struct(F.col("text_id").isNull().alias("none"), "text_id", "key")).alias("b"))
     best = scratch.save(best.select(F.col("b.text_id").alias("id"), F.col("b.key").alias("md5")))
     some = F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", text_key().alias("key"), some.alias("some"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", text_key().alias("key"), some.alias("some"))
     kept = rows.where("some").join(best, (F.col("key") == F.col("md5")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     plain = [F.col("row")[f.name] for f in docs.schema if isinstance(f.dataType, AtomicType)]
     one = kept.groupBy("doc_id", "key").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))

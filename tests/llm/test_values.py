@@ -19,7 +19,7 @@ BIG = 2**53 + 1
 LONG = " ".join(f"w{i}" for i in range(50_000))
 LINES = "\n".join(" ".join(f"l{i}x{j}" for j in range(9)) for i in range(9))
 TEXTS = [(BIG, LINES), (None, "no id here " * 9), (BIG + 2, LONG), (BIG + 4, "own line\n" + LINES), (BIG + 6, None), (BIG + 8, ""), (BIG + 10, " \n "), (BIG + 12, LONG + " more"), (None, LINES + "\nend")]
-CLASH = "_d _ranges ranges row _n _t _id h k size taken key root score ids kept in media text_id class_id stratum good none id md5 copies times word words lines _words _lines _w bucket".split()
+CLASH = "_d _ranges ranges row _n _t _id h k size taken key root score ids kept in media text_id class_id stratum good none id md5 copies times word words lines _words _lines _w bucket a.b text.x".split()
 
 
 def frame(spark, kind: str):
