@@ -33,35 +33,40 @@ def read_chains(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lifted(intervals: DataFrame, blocks: DataFrame, least: float = 0.95, width: int = 1 << 16, limit: int = 500_000) -> DataFrame:
-    """id, status, to_chrom, to_start, to_end, flip, share for each of ``intervals`` (id, chrom, start, end; id unique).
+    """``intervals`` (chrom, start, end and others) with status, to_chrom, to_start, to_end, flip, share.
 
     An interval is ``lifted`` by the chain that holds most of its bases, if that is at least the share ``least``: to
     the span of these bases' places. Otherwise it is ``split`` if all chains together hold that share, ``partly
     deleted`` if they hold less, and ``deleted`` if none; then the places are null. ``share`` is that of all chains, at
     most 1. Ties go to the greater score, then to the least chain.
 
-    Defined cases: an interval without bases, or with a null, is deleted; bases that two blocks of a chain hold count
-    twice, but chains have no such blocks; empty tables give no rows and deleted ones.
+    Defined cases: an interval without bases, or with a null, is deleted; equal intervals are lifted once and each row
+    keeps its result; columns that have the name of a new one give way to it; bases that two blocks of a chain hold
+    count twice, but chains have no such blocks; empty tables give no rows and deleted ones.
 
     Both sides are cut into coarse cells of the axis, and a pair is met in the cell where its overlap begins, so once.
-    Up to ``limit`` blocks in cells (counted) are broadcast, and intervals stay where they are until their overlaps,
-    added up before, are grouped by id; beyond, cells are joined by a shuffle.
+    Up to ``limit`` blocks in cells (counted) are broadcast, and intervals stay where they are until their overlaps are
+    added up; beyond, cells are joined by a shuffle. ``width`` should not be far under the usual interval's.
     """
-    cells = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor((b - 1) / width))).alias("at")
-    index = blocks.where("end > start").select("chain", "score", F.col("chrom").alias("bc"), F.col("start").alias("bs"), F.col("end").alias("be"), "to_chrom", F.col("to_start").alias("ts"), "flip", cells(F.col("start"), F.col("end")))
-    spans = intervals.where("end > start").select("id", "chrom", "start", "end", cells(F.col("start"), F.col("end")))
-    index = index.withColumnRenamed("at", "bat")
+    new = ["status", "to_chrom", "to_start", "to_end", "flip", "share"]
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor((F.col(b) - 1) / width)))
+    index = blocks.where("end > start").select("chain", "score", F.col("chrom").alias("bc"), F.col("start").alias("bs"), F.col("end").alias("be"), "to_chrom", F.col("to_start").alias("ts"), "flip", cells("start", "end").alias("bat"))
+    spans = intervals.where("end > start").select(F.col("chrom").alias("_c"), F.col("start").alias("_s"), F.col("end").alias("_e")).distinct()
     if index.limit(limit).count() < limit:
         index = F.broadcast(index)
-    met = spans.join(index, (F.col("chrom") == F.col("bc")) & (F.col("at") == F.col("bat")))
-    low, high = F.greatest("start", "bs"), F.least("end", "be")
+    met = spans.withColumn("at", cells("_s", "_e")).join(index, (F.col("_c") == F.col("bc")) & (F.col("at") == F.col("bat")))
+    low, high, by_span = F.greatest("_s", "bs"), F.least("_e", "be"), ["_c", "_s", "_e"]
     met = met.where((low < high) & (F.floor(low / width) == F.col("at")))
     to_low = F.col("ts") + F.when(F.col("flip"), F.col("be") - high).otherwise(low - F.col("bs"))
-    parts = met.select("id", "chain", "score", "to_chrom", "flip", (high - low).alias("bases"), to_low.alias("a"), (to_low + high - low).alias("b"))
-    chains = parts.groupBy("id", "chain", "score", "to_chrom", "flip").agg(F.sum("bases").alias("bases"), F.min("a").alias("a"), F.max("b").alias("b"))
-    best = chains.groupBy("id").agg(F.sum("bases").alias("all"), F.min_by(F.struct("bases", "to_chrom", "a", "b", "flip"), F.struct(-F.col("bases"), -F.col("score"), F.col("chain"), "to_chrom", "flip")).alias("best"))
-    joined = intervals.select("id", (F.col("end") - F.col("start")).alias("length")).join(best.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
-    good = F.coalesce(F.col("best")["bases"] >= least * F.col("length"), F.lit(False))
-    status = F.when(good, "lifted").when(F.col("all").isNull(), "deleted").when(F.col("all") >= least * F.col("length"), "split").otherwise("partly deleted")
-    place = [F.when(good, F.col("best")[c]).alias(n) for c, n in (("to_chrom", "to_chrom"), ("a", "to_start"), ("b", "to_end"), ("flip", "flip"))]
-    return joined.select("id", status.alias("status"), *place, F.least(F.lit(1.0), F.coalesce(F.col("all") / F.col("length"), F.lit(0.0))).alias("share"))
+    parts = met.select(*by_span, "chain", "score", "to_chrom", "flip", (high - low).alias("bases"), to_low.alias("a"), (to_low + high - low).alias("b"))
+    chains = parts.groupBy(*by_span, "chain", "score", "to_chrom", "flip").agg(F.sum("bases").alias("bases"), F.min("a").alias("a"), F.max("b").alias("b"))
+    first = F.struct(-F.col("bases"), -F.col("score"), F.col("chain"), "to_chrom", "flip")
+    best = chains.groupBy(*by_span).agg(F.sum("bases").alias("_all"), F.min_by(F.struct("bases", "to_chrom", "a", "b", "flip"), first).alias("_best"))
+    joined = intervals.join(best, (F.col("chrom") == F.col("_c")) & (F.col("start") == F.col("_s")) & (F.col("end") == F.col("_e")), "left")
+    length, of_best = F.col("end") - F.col("start"), F.col("_best")
+    good = F.coalesce(of_best["bases"] >= least * length, F.lit(False))
+    status = F.when(good, "lifted").when(F.col("_all").isNull(), "deleted").when(F.col("_all") >= least * length, "split").otherwise("partly deleted")
+    places = [F.when(good, of_best[c]) for c in ("to_chrom", "a", "b", "flip")]
+    values = [status, *places, F.least(F.lit(1.0), F.coalesce(F.try_divide("_all", length), F.lit(0.0)))]
+    kept = [F.col(f"`{c}`") for c in intervals.columns if c not in new]
+    return joined.select(*kept, *[v.alias(n) for v, n in zip(values, new, strict=True)])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoframe.functions import scalar
-from genoframe.operators import agreement, arcs, cluster, correct, genome, hmm, intervals, ploidy, qc, segment
+from genoframe.operators import agreement, arcs, cluster, correct, duplicates, genome, hmm, intervals, lift, normalise, ploidy, qc, segment
 from genoframe.params import Params
 from genoframe.plans import pipeline
 from genoframe.plans.oracles import BINS, ORACLES  # noqa: F401
@@ -181,6 +181,31 @@ def _agreement(d: Data) -> DataFrame:
     return agreement.adjusted_rand(nodes, "cluster", "node").select("cells", six("rand"), six("adjusted_rand"))
 
 
+def _by_depth(d: Data) -> DataFrame:
+    return normalise.depth_corrected(d.counts(), d.bins, d.scratch).select("cell", "bin_id", six("by_gc"), six("by_mapp"), six("copy"))
+
+
+def _poisson(d: Data) -> DataFrame:
+    counts = d.counts()
+    cells, effects, _ = normalise.poisson_fit(counts, d.bins, d.scratch, d.scratch.save(_normal(d)))
+    return normalise.poisson_normalised(counts, cells, effects).select("cell", "bin_id", six("mean"), six("ratio"))
+
+
+def _lifted(d: Data) -> DataFrame:
+    """All lines in an axis without the days of most orders; a chain is eight runs of the days left, odd ones turned."""
+    line = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("long")
+    lines = tables.read(d.spark, d.dir, "lineitem").select(line.cast("long").alias("id"), F.lit("chr1").alias("chrom"), day.alias("start"), (day + F.col("l_quantity").cast("long")).alias("end"))
+    out = lift.lifted(lines, tables.calm_blocks(d.spark, d.dir), 0.75)
+    none = {"to_chrom": F.lit(""), "to_start": F.lit(-1).cast("long"), "to_end": F.lit(-1).cast("long"), "flip": F.lit(False)}
+    return out.select("id", "status", *[F.coalesce(c, v).alias(c) for c, v in none.items()], six("share"))
+
+
+def _copies(d: Data) -> DataFrame:
+    marks = duplicates.marked(tables.fragments(d.spark, d.dir))
+    return marks.select("cell", "name", "mate", "duplicate")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bin_genome": _q(lambda d: named(genome.bins(d.sizes(), tables.BIN).select("chrom", "start", "end"))),
     "bin_running_id": _q(lambda d: genome.bins(d.sizes(), tables.BIN).select("bin_id", "chrom", scalar.bin_label(F.col("chrom"), F.col("start"), F.col("end")).alias("label"))),
@@ -240,6 +265,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hmm_segments": _q(_hmm),
     "shared_arc_segments": _q(_arcs),
     "label_agreement": _q(_agreement),
+    "depth_corrected": _q(_by_depth),
+    "poisson_normalised": _q(_poisson),
+    "lifted_intervals": _q(_lifted),
+    "duplicate_reads": _q(_copies),
     "fallback_split": _q(lambda d: pipeline.split_by_ploidy(d.norm(), P)),
     "pipeline_end_to_end": _q(lambda d: pipeline.call_copy_numbers(d.reads, d.bins, P, d.mask)),
 }

@@ -62,9 +62,23 @@ ivs AS (SELECT 'c' || o_custkey AS chrom, {O} AS s, {O} + o_orderkey % 7 + 1 AS
 fresh AS (SELECT *, coalesce(s > max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE)::INT AS f FROM ivs),
 marked AS (SELECT *, sum(f) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM fresh),
 bsum AS (SELECT bin_id, sum(n)::BIGINT AS n FROM counts GROUP BY bin_id),
+frag_reads AS (SELECT (l_orderkey % 100)::INT AS cell, l_orderkey || ':' || (l_linenumber - 1) // 2 AS name, ((l_linenumber - 1) % 2)::INT AS mate, floor({L} / 90)::BIGINT * 90 || CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END AS e, l_quantity::INT AS score FROM lineitem),
+frags AS (SELECT cell, name, list_sort(list(e)) AS ends, count(*) AS n, sum(score) AS score FROM frag_reads GROUP BY cell, name),
+frag_ends AS (SELECT DISTINCT cell, n, unnest(ends) AS e FROM frags),
 geno AS (SELECT 'chr' || (o_custkey % 25) AS chrom, o_orderkey AS pos, (CASE WHEN o_orderstatus = 'F' THEN '1' ELSE '0' END) || '|' || (CASE WHEN o_orderpriority < '3' THEN '1' ELSE '0' END) AS gt FROM orders)
 """
 
+#: Counts over their bias with nothing shared: bins by arithmetic, the bias as a window over all cells of a bin.
+CORRECTED = f"""WITH spans AS (SELECT l_suppkey AS cell, {L} AS s, {L} + l_quantity::BIGINT AS e FROM lineitem),
+hits AS (SELECT cell, unnest(range(greatest(0, s // 30), least({BINS - 1}, (e - 2) // 30) + 1))::INT AS bin_id FROM spans WHERE e >= 2),
+sums AS (SELECT cell, bin_id, count(*) AS n FROM hits GROUP BY ALL),
+grid AS (SELECT cell, bin_id::INT AS bin_id FROM (SELECT DISTINCT cell FROM spans), range({BINS}) AS r(bin_id)),
+dense AS (SELECT cell, bin_id, coalesce(n, 0) AS n FROM grid LEFT JOIN sums USING (cell, bin_id)),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY n, bin_id) AS i, median(n) OVER (PARTITION BY cell) AS m FROM dense),
+even AS (SELECT *, 2 * round_even(round((2 * sum(i * n::DOUBLE) OVER w - (count(*) OVER w + 1) * sum(n) OVER w) / nullif(2 * count(*) OVER w * sum(n) OVER w, 0), 9), 4) < 0.16 AS normal FROM ranks WINDOW w AS (PARTITION BY cell)),
+level AS (SELECT cell, bin_id, n, round(avg(CASE WHEN normal THEN n / nullif(m, 0) END) OVER (PARTITION BY bin_id), 9) AS b, count(*) FILTER (normal) OVER (PARTITION BY bin_id) AS cells FROM even)
+SELECT cell, bin_id, round(n / CASE WHEN coalesce(b, 0) = 0 THEN 1 ELSE b END, 6) AS value FROM level WHERE cells > 0"""
+
 #: Cells with both labels: their number's remainder and their nation.
 NODES = "(SELECT cell % 4 AS a, n_name AS b FROM cells JOIN supplier ON s_suppkey = cell JOIN nation ON n_nationkey = s_nationkey)"
 
@@ -90,7 +104,6 @@ SELECTS = {
     "gini_by_cell": "SELECT cell, round(gini, 6) AS gini FROM gini",
     "normal_cells": "SELECT cell FROM normal",
     "bias_vector": "SELECT bin_id, round(bias, 6) AS bias FROM bias",
-    "bias_corrected": "SELECT cell, bin_id, round(n / bias, 6) AS value FROM counts JOIN bias USING (bin_id)",
     "plus_one_norm": "SELECT cell, bin_id, round(y, 6) AS y FROM y",
     "cell_std_split": "SELECT cell, round(std, 6) AS std, std <= 0.25 AS is_normal FROM std",
     "fingerprint_bins": "SELECT bin_id, round(spread, 6) AS spread FROM fp",
@@ -127,7 +140,21 @@ SELECTS = {
     f"(SELECT sum(n * (n - 1) / 2)::DOUBLE FROM (SELECT count(*) AS n FROM {NODES} GROUP BY a)) AS ones, "
     f"(SELECT sum(n * (n - 1) / 2)::DOUBLE FROM (SELECT count(*) AS n FROM {NODES} GROUP BY b)) AS twos "
     f"FROM (SELECT count(*) AS n FROM {NODES} GROUP BY a, b))",
+    "lifted_intervals": f"""SELECT id, CASE WHEN coalesce(top >= 0.75 * length, false) THEN 'lifted' WHEN bases IS NULL THEN 'deleted' WHEN bases >= 0.75 * length THEN 'split' ELSE 'partly deleted' END AS status,
+  CASE WHEN top >= 0.75 * length THEN 'part' || chain ELSE '' END AS to_chrom, CASE WHEN top >= 0.75 * length THEN a ELSE -1 END AS to_start, CASE WHEN top >= 0.75 * length THEN b ELSE -1 END AS to_end,
+  CASE WHEN top >= 0.75 * length THEN chain % 2 = 1 ELSE false END AS flip, round(coalesce(bases / length, 0), 6) AS share FROM (
+  SELECT l_orderkey * 10 + l_linenumber AS id, {L} AS s, {L} + l_quantity::BIGINT AS e, e - s AS length FROM lineitem) l LEFT JOIN (
+  SELECT s, e, sum(n)::BIGINT AS bases, max(n) AS top, arg_min(chain, (-n, chain)) AS chain, arg_min(a, (-n, chain)) AS a, arg_min(b, (-n, chain)) AS b FROM (
+    SELECT s, e, chain, count(*) AS n, min(place) AS a, max(place) + 1 AS b FROM (
+      SELECT s, e, chain, CASE WHEN chain % 2 = 1 THEN whole - 1 - spot ELSE spot END AS place FROM (SELECT DISTINCT s, e FROM reads) JOIN (
+        SELECT day, chain, row_number() OVER (PARTITION BY chain ORDER BY day) - 1 AS spot, count(*) OVER (PARTITION BY chain) AS whole FROM (
+          SELECT day, ((dense_rank() OVER (ORDER BY run) - 1) // 8)::BIGINT AS chain FROM (
+            SELECT s AS day, s - row_number() OVER (ORDER BY s) AS run FROM days WHERE n < (SELECT round(quantile_cont(n, 0.97), 9) FROM days)))) ON day >= s AND day < e)
+    GROUP BY s, e, chain) GROUP BY s, e) USING (s, e)""",
+    "duplicate_reads": f"""SELECT cell, name, mate, duplicate FROM (
+  SELECT cell, name, mate, NOT (r = 1 AND (n > 1 OR NOT EXISTS (SELECT 1 FROM frag_ends p WHERE p.n > 1 AND p.cell = f.cell AND p.e = f.ends[1]))) AS duplicate FROM (
+    SELECT *, row_number() OVER (PARTITION BY cell, ends ORDER BY score DESC, name) AS r FROM frags) f JOIN frag_reads USING (cell, name))""",
     "phased_genotype_filter": "SELECT * FROM geno WHERE substr(chrom, 4)::INT BETWEEN 1 AND 22 AND gt IN ('1|0', '0|1')",
 }
 
-ORACLES = {name: CHAIN + select for name, select in SELECTS.items()}
+ORACLES = {name: CHAIN + select for name, select in SELECTS.items()} | {"bias_corrected": CORRECTED}

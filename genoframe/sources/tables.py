@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from genoframe.operators import genome
@@ -44,3 +44,26 @@ def mask(spark: SparkSession, sf_dir: str, quantile: float = 0.98) -> DataFrame:
 
 def cell_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left").select(F.col("s_suppkey").alias("cell"), F.col("n_name").alias("node"))
+
+
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order, two at a time, as the reads of a fragment that starts in the first bin of a quarter."""
+    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("long")
+    name = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.expr("cast((l_linenumber - 1) div 2 as string)"))
+    return read(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") % 100).cast("int").alias("cell"), name.alias("name"), ((F.col("l_linenumber") - 1) % 2).cast("int").alias("mate"), F.lit("chr1").alias("chrom"),
+        (F.floor(day / 90) * 90).alias("five"), (F.col("l_returnflag") == "R").alias("reverse"), F.col("l_quantity").cast("int").alias("score"), F.lit(1).alias("flag"),
+    )
+
+
+def calm_blocks(spark: SparkSession, sf_dir: str, quantile: float = 0.97, runs: int = 8) -> DataFrame:
+    """Blocks of chains from all days with orders to an axis without the busiest: see ``lift``."""
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("long")
+    by_day = read(spark, sf_dir, "orders").groupBy(day.alias("day")).agg(F.count("*").alias("n"))
+    bar = by_day.agg(F.round(F.percentile("n", quantile), 9).alias("bar"))
+    calm = by_day.join(F.broadcast(bar)).where("n < bar").withColumn("run", F.col("day") - F.row_number().over(Window.orderBy("day")))
+    blocks = calm.groupBy("run").agg(F.min("day").alias("start"), (F.max("day") + 1).alias("end")).withColumn("chain", F.floor((F.row_number().over(Window.orderBy("start")) - 1) / runs))
+    size, of_chain = F.col("end") - F.col("start"), Window.partitionBy("chain")
+    before, whole, flip = F.sum(size).over(of_chain.orderBy("start")) - size, F.sum(size).over(of_chain), F.col("chain") % 2 == 1
+    to_start = F.when(flip, whole - before - size).otherwise(before)
+    return blocks.select("chain", F.lit(1.0).alias("score"), F.lit("chr1").alias("chrom"), "start", "end", F.concat(F.lit("part"), F.col("chain").cast("string")).alias("to_chrom"), to_start.alias("to_start"), flip.alias("flip"))

@@ -53,7 +53,9 @@ def test_lifted_like_a_walk_over_bases(spark, chain_file, width, limit):
     rng = random.Random(9)
     spans = [(i, rng.choice(["chr1", "chr1", "chr2", "chr3"]), s, s + rng.choice([1, 5, 30, 200, 1500])) for i in range(400) for s in [rng.randint(0, 4200)]]
     spans += [(900, "chr1", 50, 50), (901, None, 1, 5), (902, "chr2", None, 7), (903, "chr1", 150, 160), (904, "chr1", 150, 160)]
-    got = {r["id"]: tuple(r)[1:] for r in lift.lifted(spark.createDataFrame(spans, SPANS), lift.read_chains(spark, path), 0.7, width, limit).collect()}
+    rows = lift.lifted(spark.createDataFrame(spans, SPANS), lift.read_chains(spark, path), 0.7, width, limit).collect()
+    got = {r["id"]: tuple(r)[4:] for r in rows}
+    assert len(rows) == len(spans)
     want = plain([s for s in spans if None not in s], bases, 0.7) | {i: ("deleted", None, None, None, None, 0.0) for i in (901, 902)}
     assert got.keys() == want.keys()
     assert all(got[i][:5] == want[i][:5] and abs(got[i][5] - want[i][5]) < 1e-9 for i in want)
@@ -62,11 +64,13 @@ def test_lifted_like_a_walk_over_bases(spark, chain_file, width, limit):
 
 def test_split_over_two_chains_and_odd_tables(spark, chain_file, tmp_path):
     blocks = spark.createDataFrame([("1", 5.0, "a", 0, 50, "x", 0, False), ("2", 9.0, "a", 50, 100, "y", 0, True)], "chain string, score double, chrom string, start long, end long, to_chrom string, to_start long, flip boolean")
-    got = {r["id"]: tuple(r)[1:] for r in lift.lifted(spark.createDataFrame([(1, "a", 25, 75), (2, "a", 40, 50), (3, "a", 60, 70)], SPANS), blocks).collect()}
+    got = {r["id"]: tuple(r)[4:] for r in lift.lifted(spark.createDataFrame([(1, "a", 25, 75), (2, "a", 40, 50), (3, "a", 60, 70)], SPANS), blocks).collect()}
     assert got == {1: ("split", None, None, None, None, 1.0), 2: ("lifted", "x", 40, 50, False, 1.0), 3: ("lifted", "y", 30, 40, True, 1.0)}
     tie = lift.lifted(spark.createDataFrame([(1, "a", 25, 75)], SPANS), blocks, 0.5).first()
     assert (tie["to_chrom"], tie["to_start"], tie["to_end"]) == ("y", 25, 50)
     assert lift.lifted(spark.createDataFrame([], SPANS), blocks).count() == 0
+    odd = spark.createDataFrame([("a", 40, 50, "old", 7)], "chrom string, start long, end long, status string, `a.b` long")
+    assert lift.lifted(odd, blocks).first().asDict() == {"chrom": "a", "start": 40, "end": 50, "a.b": 7, "status": "lifted", "to_chrom": "x", "to_start": 40, "to_end": 50, "flip": False, "share": 1.0}
     assert lift.lifted(spark.createDataFrame([(1, "a", 25, 75)], SPANS), blocks.limit(0)).first()["status"] == "deleted"
     wrong = tmp_path / "wrong.chain"
     wrong.write_text("chain 1 a 90 + 0 50 b 90 + 0 40 7\n20 5 0\n20\n")
