@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from genoframe.operators import genome
 
 BIN = 30
-LENGTH = 2520  # days of the tables' span from 1995 on, rounded up to bins
+SPAN = 2520  # days that the tables' axis has at least, from 1995 on
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +25,11 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """30-day bins of the span of days, with gc and mapp from the discounts and taxes of the lines that start in them."""
-    sizes = read(spark, sf_dir, "lineitem").agg(F.count("*").alias("n")).select(F.lit("chr1").alias("chrom"), F.lit(LENGTH).cast("long").alias("length"))
-    plain = genome.bins(sizes, BIN)
+    """30-day bins up to the last day on which a line starts, with gc and mapp from the discounts and taxes of the lines that start in them."""
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date"))
+    last = F.greatest(F.lit(SPAN), F.ceil((F.max(day) + 1) / BIN) * BIN)
+    sizes = read(spark, sf_dir, "lineitem").agg(last.cast("long").alias("length")).select(F.lit("chr1").alias("chrom"), "length")
+    plain = genome.bins(sizes, BIN)
     facts = read(spark, sf_dir, "lineitem").groupBy(F.floor(day / BIN).cast("int").alias("bin_id"))
     facts = facts.agg(F.round(F.avg("l_discount") * 1000, 6).alias("gc"), F.round(1 - F.avg("l_tax"), 6).alias("mapp"))
     return plain.join(facts, "bin_id", "left")

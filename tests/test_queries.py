@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from dataclasses import replace
 
 import numpy as np
@@ -40,6 +41,37 @@ def test_mask_both_ways(spark):
     assert small == large == [s for s in range(0, 60, 3) if not any(s < e and s + 5 > b for b, e in ((20, 22), (40, 49)))]
 
 
+def test_long_lists_of_mask_intervals(spark):
+    """Lists that take several halvings, with intervals inside others, without length, touching, and with nulls."""
+    rng = random.Random(8)
+    spans = [(rng.choice(["chr1", "chr2"]), s, s + rng.choice([0, 1, 1, 4, 30])) for s in (rng.randrange(4000) for _ in range(300))] + [("chr1", 5000, 5000)]
+    rows = [(i, rng.choice(["chr1", "chr2", "chr3", None]), s, s + rng.choice([0, 1, 3, 12])) for i in range(3000) for s in [rng.randrange(5100)]]
+    mask = spark.createDataFrame([*spans, (None, 1, 2), ("chr1", None, 3), ("chr1", 3, None)], "chrom string, start long, end long")
+    reads = spark.createDataFrame(rows, "row long, chrom string, start long, end long")
+    want = sorted(i for i, c, s, e in rows if not any(c == mc and s < me and e > ms for mc, ms, me in spans))
+    for width, limit in ((None, 1000), (2000, 1000), (None, 0)):
+        assert sorted(r["row"] for r in intervals.drop_masked(reads, mask, width, limit).collect()) == want
+    assert intervals.drop_masked(reads, mask.limit(0)).count() == 3000
+
+
+def test_merged_over_many_ranges(spark):
+    """Against a sweep: intervals across ranges, islands over several of them, gaps, no chromosome."""
+    rng = random.Random(2)
+    rows = [(c, s, s + rng.choice([1, 2, 9, 9, 400 if s % 97 == 0 else 3])) for c in ("chr1", "chr2", None) for s in (rng.randrange(9000) for _ in range(900))]
+    frame = spark.createDataFrame([*rows, ("chr1", None, 4), ("chr9", 3, None)], "chrom string, start long, end long")
+    for gap in (-1, 0, 3):
+        want = []
+        for c, s, e in sorted(rows, key=lambda r: (r[0] or "", *r[1:])):
+            if want and want[-1][0] == c and s <= want[-1][2] + gap:
+                want[-1][2] = max(want[-1][2], e)
+            else:
+                want.append([c, s, e])
+        for per in (20, 10**6):
+            got = sorted((list(r) for r in intervals.merged(frame, gap, per).collect()), key=lambda r: (r[0] or "", *r[1:]))
+            assert got == want
+    assert intervals.merged(frame.limit(0)).count() == 0
+
+
 def test_gini_extremes(spark):
     rows = [("flat", i, 3) for i in range(10)] + [("hot", i, 7 if i == 4 else 0) for i in range(10)]
     got = {r["cell"]: r["gini"] for r in correct.gini(spark.createDataFrame(rows, "cell string, bin_id int, n long")).collect()}
