@@ -82,11 +82,18 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most:
     sources = scratch.save(targets(by_bucket.groupBy("skey", "source").agg(F.sum("in_bucket").alias("source_size")), weights, most))
     offsets = join_small(offsets.select("skey", "bucket", "before"), sources, "skey", "inner")
 
-    inside = Window.partitionBy("skey", "bucket").orderBy("k", "size", *h).rowsBetween(Window.unboundedPreceding, 0)
+    # Equal rows are one row with a count, and rows of equal hash and size (one doc_id, or none) a group of their own, so
+    # a doc_id that very many rows share is not one task's work: it has as many groups as sizes.
+    group = ["skey", "bucket", "k", "size"]
+    inside = Window.partitionBy(*group).orderBy(F.col("doc_id").cast("string"), *h).rowsBetween(Window.unboundedPreceding, 0)
+    equal = sized.groupBy(*group, "doc_id", *h).agg(F.count("*").alias("n")).withColumn("first", F.col("size") * (F.sum("n").over(inside) - F.col("n")))
+    groups = sized.groupBy(*group).agg(F.sum("size").alias("words")).join(offsets, ["skey", "bucket"])
+    ahead = F.sum("words").over(Window.partitionBy("skey", "bucket").orderBy("k", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
+    groups = groups.select(*group, "source_size", "target", (F.col("before") + ahead).alias("at"))
     queued = scratch.save(
-        sized.join(offsets, ["skey", "bucket"])
-        .withColumn("end", F.col("before") + F.sum("size").over(inside))
-        .select("doc_id", "k", "size", "source_size", "target", "end", *h)
+        equal.join(groups, group)
+        .withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
+        .select("doc_id", "k", "size", "source_size", "target", (F.col("at") + F.col("first") + F.col("i") * F.col("size")).alias("end"), *h)
     )
 
     # A pass of a document competes if it starts before its source has met its target: those passes hold the budget.

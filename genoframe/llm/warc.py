@@ -11,8 +11,9 @@ number of records are fine. Offsets are a running sum within a file; ``to_record
 ``per_file`` records by a hash, so files are small.
 
 Defined cases: a null page, url or html is an empty one (the record has headers only); equal rows are records of their
-own, in any order, as their bytes are equal; an empty table gives no file; other columns are ignored; a record that
-only one replica has is ``missing`` or ``extra``.
+own, in any order, as their bytes are equal; an empty table gives no file; a very long page is one record, whole (a
+record is one value, so under 2 GiB); other columns are ignored, whatever their names; a record that only one replica
+has is ``missing`` or ``extra``.
 """
 
 from __future__ import annotations
@@ -47,10 +48,11 @@ def record(uri: Column, ident: Column, body: Column) -> Column:
 
 
 def to_records(pages: DataFrame, per_file: int = 256) -> DataFrame:
-    """file, page_id, record: every page as a record, dealt to files by a hash of page_id and url."""
+    """file, page_id, record: every page as a record, dealt to files by a hash of page_id, url and body."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     files = max(1, -(-pages.count() // per_file))
-    spot = F.conv(F.substring(F.md5(F.concat_ws("|", empty("page_id"), empty("url")).cast("binary")), 1, 8), 16, 10).cast("long")
+    deal = F.concat_ws("|", empty("page_id"), empty("url"), F.sha2(empty("html").cast("binary"), 256))
+    spot = F.conv(F.substring(F.md5(deal.cast("binary")), 1, 8), 16, 10).cast("long")
     return pages.select((spot % files).alias("file"), "page_id", record(empty("url"), empty("page_id"), empty("html")).alias("record"))
 
 
@@ -138,7 +140,7 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH p AS (SELECT page_id, coalesce(page_id::VARCHAR, '') AS i, coalesce(url, '') AS u, coalesce(html, '') AS h FROM pages),
-r AS (SELECT page_id, ('0x' || substr(md5(i || '|' || u), 1, 8))::BIGINT % greatest(1, ((SELECT count(*) FROM pages) + 255) // 256) AS file,
+r AS (SELECT page_id, ('0x' || substr(md5(i || '|' || u || '|' || sha256(h)), 1, 8))::BIGINT % greatest(1, ((SELECT count(*) FROM pages) + 255) // 256) AS file,
   ('0x' || substr(md5('rot' || i), 1, 8))::BIGINT % 97 = 0 AS rotten,
   concat('WARC/1.1', n, 'WARC-Type: resource', n, 'WARC-Record-ID: <urn:page:', i, '>', n, 'WARC-Target-URI: ', u, n, 'WARC-Payload-Digest: sha256:', sha256(h), n,
     'Content-Type: text/html', n, 'Content-Length: ', strlen(h), n, n, h) AS record FROM p, (SELECT chr(13) || chr(10) AS n)),

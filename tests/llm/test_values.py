@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import struct
 import zlib
@@ -368,3 +369,30 @@ def test_certificates_against_sql(spark):
     kept = {(r["lang"], r["quality"]): r["min(kept)"] for r in whole}
     assert kept["en", 0] is kept[None, 0] is False and kept["", 0] is kept["de", 0] is kept["fr", 0] is True
     assert all(kept[lang, 1] for lang in ("en", None, "", "de", "fr"))
+
+
+def test_mix_of_repeated_ids_is_the_plain_queue(spark):
+    """A third of the rows without an id, others sharing one, equal rows among them."""
+    rng = random.Random(12)
+    rows = [(rng.choice([None, None, 1, 2, 7, i]), rng.choice(["a", "b", "b", None]), " ".join(["w"] * rng.choice([0, 1, 5, 5, 30]))) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mixing.mix_plan(frame, split_last=True).collect()
+    assert len(got) == len(rows)
+    goal, taken = {r["source_size"]: r["target"] for r in got}, {}
+    queue = []
+    for source in ("a", "b", None):
+        mine = sorted((hashlib.md5(str(i if i is not None else "null").encode()).hexdigest(), len(t.split()), i) for i, s, t in rows if s == source)
+        whole, end = sum(n for _, n, _ in mine), 0
+        for k, n, i in mine:
+            end += n
+            queue += [((turn * whole + end) / goal[whole], k, n, turn, whole, i) for turn in range(3) if n and turn * whole + end - n < goal[whole]]
+    left = sum(goal_of for goal_of in goal)  # the words of all sources
+    for _, _, n, _, whole, i in sorted(queue, key=lambda x: x[:4]):
+        taken[whole, i, n] = taken.get((whole, i, n), 0) + min(n, left)
+        left -= min(n, left)
+    sums = {}
+    for r in got:
+        key = (r["source_size"], r["doc_id"], r["size"])
+        sums[key] = sums.get(key, 0) + r["taken"]
+    assert {k: v for k, v in sums.items() if v} == {k: v for k, v in taken.items() if v}
+    assert len(mixing.mix(frame).collect()) > 0
