@@ -125,6 +125,33 @@ def test_ward_rounds_with_copies(spark):
     assert got["label"].tolist() == [i % 4 for i in range(60)]
 
 
+def test_ward_of_lattices_and_lines(spark):
+    """Many equal distances between different cells, and a line on which each cell is nearest to the one before: rounds
+    come to an end, all heights are those of one dendrogram, and the pointers of a long chain are followed."""
+    for points, few in ((np.array([[x, y] for x in range(5) for y in range(4)], float), 3), (np.cumsum(np.arange(9, 0, -1.0))[:, None], 5)):
+        prints = spark.createDataFrame([(i, b, float(x)) for i, p in enumerate(points) for b, x in enumerate(p)], "cell long, bin_id int, f double")
+        got = cluster.ward_labels(prints, 1e9, 1e-9, max_cells=few, block=12).toPandas().sort_values("cell")
+        assert got["cell"].tolist() == got["second"].tolist() == list(range(len(points))) and set(got["first"]) == {0}
+    merges = cluster.ward_merges(points, np.ones(len(points)))
+    got = cluster.ward_labels(prints, 12.0, 3.0, max_cells=5, block=25).toPandas().sort_values("cell")
+    for name, height in (("first", 12.0), ("second", 3.0)):
+        assert got[name].tolist() == cluster.cut(len(points), merges, height).tolist()
+    empty = cluster.ward_labels(prints.limit(0), 1.0, 2.0)
+    assert empty.count() == 0 and empty.columns == ["cell", "first", "second"]
+
+
+def test_pointers_of_merges(spark):
+    """A chain of merges one below the other, and all into one cell."""
+    scratch = cluster.Scratch(spark)
+    ids = spark.range(40)
+    chain = spark.createDataFrame([(i - 1, i, float(40 - i), 39 - i) for i in range(1, 40)], cluster.MERGES)
+    star = spark.createDataFrame([(0, i, float(i), i) for i in range(1, 40)], cluster.MERGES)
+    for merges, ends in ((chain, lambda i: 20 if i >= 20 else i), (star, lambda i: 0 if i < 20 else i)):
+        got = cluster.cut_merges(ids, merges, scratch, height=20.0).collect()
+        assert {r["id"]: r["root"] for r in got} == {i: ends(i) for i in range(40)}
+    assert {r["id"]: r["root"] for r in cluster.cut_merges(ids, chain, scratch, k=3).collect()} == {i: min(i, 2) for i in range(40)}
+
+
 def test_normals_are_the_last_cluster(spark):
     labels = spark.createDataFrame([("a", 0), ("b", 1)], "cell string, first int")
     got = cluster.with_normals(labels, spark.createDataFrame([("n",)], "cell string"), "first")
