@@ -12,7 +12,8 @@
 
 So every link between different texts of a candidate component is found and counted, also those that banding alone
 would miss. Defined cases: null and blank texts have no shingles; they link to nothing and each row is a group by
-itself (text_id and class_id its doc_id); ties do not matter; rows with equal texts share class and number of links;
+itself (text_id and class_id its doc_id); a very long text is one set, taken whole, its signature in pieces, and may
+make its block larger than ``block``; ties do not matter; rows with equal texts share class and number of links;
 null doc_ids are never a class_id unless all ids of the group are null; an empty table gives none; other columns are
 ignored by the join and passed through by ``keep_first``.
 """
