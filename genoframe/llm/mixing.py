@@ -5,7 +5,8 @@ words up to its end, divided by the source's target; a further pass over the sou
 passes of all sources are then put in the order of their finish times and cut where the words reach the budget: of
 the document at the cut the mix takes the words that are left (``mix_plan`` with ``split_last``), or none.
 
-Nothing but (doc_id, source, size) is shuffled. Cumulative sums are two-level: sums of hash or time buckets, whose
+Nothing but (doc_id, source, size) is shuffled: of each source and pass the mix takes a beginning of the queue, so
+``mix`` finds the documents themselves by the last place taken, a row a source. Cumulative sums are two-level: sums of hash or time buckets, whose
 number follows the number of documents, then a sum inside one bucket; so no source meets in a task, however large.
 
 Defined cases: a null or empty text, or one of white space only, has size 0 and takes nothing; null sources form
@@ -53,22 +54,32 @@ def row_hash(docs: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if isinstance(f.dataType, AtomicType)])
 
 
-def mix_plan(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: int = 3, by_row: bool = False, split_last: bool = False) -> DataFrame:
-    """doc_id, size, source_size, target and ``taken``, the words that the mix takes of each document.
+def source_key(docs: DataFrame) -> Column:
+    return F.coalesce(F.concat(F.lit("="), docs["source"]), F.lit(""))
 
-    ``split_last`` takes a part of the document at the cut, so that the mix is as long as its budget and a source of
-    one or two documents comes near its target too. ``by_row`` adds ``h``, the hash of the row, which orders rows of equal doc_id and size.
+
+def queue_key(docs: DataFrame) -> Column:
+    return F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit("null")).cast("binary"))
+
+
+def n_words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def queue(docs: DataFrame, weights: Sequence[float], most: int, by_row: bool = False) -> tuple[DataFrame, list[Column], Column]:
+    """The saved queue; of each pass, whether the mix takes a document of it whole; the words of the one at the cut.
+
+    ``by_row`` adds ``h``, the hash of the row, which orders rows of equal doc_id and size.
     """
     h = ["h"] if by_row else []
     scratch = Scratch(docs.sparkSession)
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
     sized = scratch.save(
         docs.select(
             "doc_id",
             "source",
-            F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("skey"),
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            order.alias("k"),
+            source_key(docs).alias("skey"),
+            n_words(docs["text"]).alias("size"),
+            queue_key(docs).alias("k"),
             *[row_hash(docs).alias(c) for c in h],
         )
     )
@@ -93,7 +104,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most:
     queued = scratch.save(
         equal.join(groups, group)
         .withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
-        .select("doc_id", "k", "size", "source_size", "target", (F.col("at") + F.col("first") + F.col("i") * F.col("size")).alias("end"), *h)
+        .select("skey", "doc_id", "k", "size", "source_size", "target", (F.col("at") + F.col("first") + F.col("i") * F.col("size")).alias("end"), *h)
     )
 
     # A pass of a document competes if it starts before its source has met its target: those passes hold the budget.
@@ -114,10 +125,11 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most:
         rank = F.struct(*rank_names)
         here = passes.where(F.col("slot") == full[0]).withColumn("upto", F.lit(full[1]) + F.sum("size").over(Window.orderBy(*rank_names).rowsBetween(Window.unboundedPreceding, 0)))
         last, part = here.agg(F.max(F.when(F.col("upto") <= budget, rank)), F.min(F.when(F.col("upto") > budget, F.struct(*rank_names, (F.lit(budget) - F.col("upto") + F.col("size")).alias("words"))))).first()
-    taken = F.lit(0).cast("long")
-    if split_last and part is not None and part["words"] > 0:
+    rest = F.lit(0).cast("long")
+    if part is not None and part["words"] > 0:
         cut = (F.col("k") == part["k"]) & (F.col("size") == part["size"]) & (F.try_divide(F.lit(part["turn"]) * F.col("source_size") + F.col("end"), F.col("target")) == F.lit(part["finish"]))
-        taken = F.when(F.coalesce(cut, F.lit(False)), F.lit(part["words"])).otherwise(F.lit(0)).cast("long")
+        rest = F.when(F.coalesce(cut, F.lit(False)), F.lit(part["words"])).otherwise(F.lit(0)).cast("long")
+    takes = []
     for turn in range(most):
         finish = F.try_divide(F.lit(turn) * F.col("source_size") + F.col("end"), F.col("target"))
         runs = F.lit(turn) * F.col("source_size") + F.col("end") - F.col("size") < F.col("target")
@@ -125,21 +137,66 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most:
             slot = F.least(F.floor(finish * buckets), F.lit(buckets))
             up_to = F.lit(False) if last is None else F.struct(finish.alias("finish"), F.col("k"), F.col("size"), F.lit(turn).alias("turn")) <= F.struct(F.lit(last[0]), F.lit(last[1]), F.lit(last[2]).cast("long"), F.lit(last[3]))
             runs = runs & ((slot < full[0]) | ((slot == full[0]) & up_to))
-        taken = taken + F.when(runs & (F.col("size") > 0) & (F.col("target") > 0), F.col("size")).otherwise(0)
-    return queued.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"), *h)
+        takes.append(runs & (F.col("size") > 0) & (F.col("target") > 0))
+    return queued, takes, rest
+
+
+def mix_plan(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: int = 3, split_last: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target and ``taken``, the words that the mix takes of each document.
+
+    ``split_last`` takes a part of the document at the cut, so that the mix is as long as its budget and a source of
+    one or two documents comes near its target too.
+    """
+    queued, takes, taken = queue(docs, weights, most)
+    if not split_last:
+        taken = F.lit(0).cast("long")
+    for take in takes:
+        taken = taken + F.when(take, F.col("size")).otherwise(0)
+    return queued.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), most: int = 3) -> DataFrame:
-    """The mixed documents themselves, with the columns of ``docs``: each row as often as the mix takes it."""
-    plan = mix_plan(docs, weights, most, by_row=True)
-    times = plan.groupBy(F.col("doc_id").alias("_id"), "h").agg(F.sum(F.try_divide("taken", "size")).cast("int").alias("times"), F.count("*").alias("copies"))
-    times = Scratch(docs.sparkSession).save(times.where("times > 0"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", row_hash(docs).alias("rh"))
-    found = rows.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rh") == F.col("h")))
-    if times.where("copies > 1").limit(1).count():  # copies are taken together: one of them stands for all
-        whole = found.where("copies > 1").groupBy("_id", "h").agg(F.first("row").alias("row"), F.first("times").alias("times"))
-        found = found.where("copies = 1").select("row", "times").unionByName(whole.select("row", "times"))
-    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    """The mixed documents themselves, with the columns of ``docs``: each row as often as the mix takes it.
+
+    A row is taken in a pass if its place in the queue is not after the last one taken of its source in that pass. Where
+    that place is shared by copies of which only some are taken, one of them stands for all.
+    """
+    scratch = Scratch(docs.sparkSession)
+    queued, takes, _ = queue(docs, weights, most, by_row=True)
+    name = lambda i: F.coalesce(F.concat(F.lit("="), i.cast("string")), F.lit(""))
+    place = ["k", "size", "id", "h"]
+    queued = queued.withColumn("id", name(F.col("doc_id")))
+    turns = range(most)
+    cuts = scratch.save(queued.groupBy("skey").agg(*[F.max(F.when(t, F.struct(*place))).alias(f"cut{i}") for i, t in enumerate(takes)]))
+    at_cut = F.lit(False)
+    for i in turns:
+        at_cut = at_cut | F.coalesce(F.struct(*place) == F.col(f"cut{i}"), F.lit(False))
+    counts = [F.count_if(t).alias(f"n{i}") for i, t in enumerate(takes)]
+    at_cut = join_small(queued, cuts, "skey", "inner").where(at_cut).groupBy("skey", "k", "id", "h").agg(F.count("*").alias("copies"), *counts)
+    parted = F.lit(False)
+    for i in turns:
+        parted = parted | F.col(f"n{i}").between(1, F.col("copies") - 1)
+    total = sum((F.col(f"n{i}") for i in turns), F.lit(0)).cast("int")
+    shared = scratch.save(at_cut.where(parted).select("skey", "k", "id", "h", total.alias("total")))
+
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(whole, source_key(docs).alias("skey"), queue_key(docs).alias("k"), name(docs["doc_id"]).alias("id"), row_hash(docs).alias("h"))
+    text = F.col("row")["text"]
+
+    def upto(i: int) -> Column:
+        """Words are counted again only where the keys are equal."""
+        cut = F.col(f"cut{i}")
+        equal = F.struct(n_words(text).alias("size"), "id", "h") <= F.struct(cut["size"].alias("size"), cut["id"].alias("id"), cut["h"].alias("h"))
+        return F.when(F.col("k") < cut["k"], 1).when(F.col("k") == cut["k"], equal.cast("int")).otherwise(0)
+
+    times = F.when(F.regexp_like(text, F.lit(WORD)), sum((upto(i) for i in turns), F.lit(0))).otherwise(0)
+    if some := shared.limit(1).count():
+        rows = join_small(rows, shared, ["skey", "k", "id", "h"], "left")
+    found = join_small(rows.where("total IS NULL").drop("total") if some else rows, cuts, "skey", "inner").select("row", times.alias("times"))
+    if some:
+        one = rows.where("total IS NOT NULL").groupBy("skey", "k", "id", "h").agg(F.first("row").alias("row"), F.first("total").alias("times"))
+        found = found.unionByName(one.select("row", "times"))
+    return found.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("row.*")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
