@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
-from genoframe.llm.common import WORD, Scratch, components, join_hot, map_texts, table
+from genoframe.llm.common import WORD, Scratch, components, join_hot, join_small, map_texts, table
 
 PRIME = (1 << 61) - 1
 
@@ -225,15 +225,21 @@ def keep_first(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame
     rows equal in both one stays. A text without words is a group by itself, and stays.
     """
     scratch = Scratch(docs.sparkSession)
-    named = text_groups(docs, scratch, n, threshold)[2]
+    signed, _, named = text_groups(docs, scratch, n, threshold)
     best = named.groupBy("root").agg(F.min(F.struct(F.col("text_id").isNull().alias("none"), "text_id", "key")).alias("b"))
-    best = scratch.save(best.select(F.col("b.text_id").alias("id"), F.col("b.key").alias("md5")))
-    some = F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", text_key().alias("key"), some.alias("some"))
-    kept = rows.where("some").join(best, (F.col("key") == F.col("md5")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    best = best.select(F.col("b.text_id").alias("id"), F.col("b.key").alias("md5"))
+    # Most rows stay, so those that go are looked for, and those of which one of several stays.
+    several = signed.where("grams > 0").groupBy("doc_id", "key").agg(F.count("*").alias("n"))
+    marked = several.join(best, (F.col("key") == F.col("md5")) & F.col("doc_id").eqNullSafe(F.col("id")), "left").withColumn("stays", F.col("md5").isNotNull())
+    marked = scratch.save(marked.where("n > 1 OR NOT stays").select(F.col("doc_id").alias("id"), F.col("key").alias("md5"), "stays"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", text_key().alias("key"))
+    found = join_small(rows, marked, (F.col("key") == F.col("md5")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    kept = found.where("stays IS NULL").select("row.*")
+    if not marked.where("stays").limit(1).count():
+        return kept
     plain = [F.col("row")[f.name] for f in docs.schema if isinstance(f.dataType, AtomicType)]
-    one = kept.groupBy("doc_id", "key").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
-    return one.select("row.*").unionByName(rows.where("NOT some").select("row.*"))
+    one = found.where("stays").groupBy("doc_id", "key").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
+    return kept.unionByName(one.select("row.*"))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
 import test_pipeline as plain
-from genoframe.llm import mixing
+from genoframe.llm import jaccard_join, mixing
 
 DDL = "doc_id long, text string, lang string, source string, n_chars int"
 
@@ -49,3 +51,16 @@ def test_mix_with_copies_at_the_cut(spark, seed):
 def test_mix_keeps_rows_that_differ_in_nested_columns(spark):
     docs = spark.createDataFrame([(1, "one two", "a", [x]) for x in range(5)], "doc_id long, text string, source string, more array<int>")
     assert sorted(r["more"][0] for r in mixing.mix(docs).collect()) == list(range(5))
+
+
+def test_keep_first_joins_texts_with_the_rows_that_go(spark, no_broadcasts):
+    docs = some_docs(np.random.default_rng(4), 200)
+    docs += [(1000 + i, *d[1:]) for i, d in enumerate(docs[:20])]
+    docs += [docs[5]] * 3 + [(None, *docs[6][1:])] * 2 + [(None, "only without an id", "en", "a", 18)] * 3
+    frame = spark.createDataFrame(docs, DDL).repartition(3)
+    got = jaccard_join.keep_first(frame)
+    assert "SortMergeJoin" not in plan_of(got)
+    assert plain.rows(got.collect()) == plain.rows(plain.near_duplicates([dict(zip(plain.COLUMNS, d, strict=True)) for d in docs]))
+    alone = jaccard_join.keep_first(spark.createDataFrame(docs[:100] + docs[200:220], DDL))
+    assert "Exchange hashpartitioning" not in plan_of(alone)
+    assert Counter(r["doc_id"] for r in alone.collect()) == Counter(range(100))
