@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from genoframe.llm.common import WORD, Scratch, join_hot, join_salted, table
+from genoframe.llm.common import WORD, Scratch, join_hot, join_salted, save_lean, table
 
 GRAM, WINDOW = 25, 25
 
@@ -48,7 +48,7 @@ def repeated_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
         .distinct()
     )
     in_order = Window.partitionBy("_d").orderBy("pos")
-    lines = scratch.save(lines.withColumn("at", F.sum("nw").over(in_order) - F.col("nw")))
+    lines = save_lean(scratch, lines.withColumn("at", F.sum("nw").over(in_order) - F.col("nw")))
 
     by_word = Window.partitionBy("_d").orderBy("at")
     grams = (
@@ -59,23 +59,27 @@ def repeated_runs(docs: DataFrame, scratch: Scratch) -> DataFrame:
         .select("_d", "pos", "at", _hash(F.array_join(F.col("hs").cast("array<string>"), ",")).alias("g"))
     )
     picked = grams.withColumn("least", F.min(F.struct("g", "pos")).over(by_word.rangeBetween(0, WINDOW - 1))).select("_d", F.col("least.g").alias("g"), F.col("least.pos").alias("pos")).distinct()
-    prints = scratch.save(picked.withColumn("prev", F.lag("pos").over(Window.partitionBy("_d", "g").orderBy("pos"))))
+    prints = save_lean(scratch, picked.withColumn("prev", F.lag("pos").over(Window.partitionBy("_d", "g").orderBy("pos"))))
 
     # Alignments: (later document, earlier document, how far apart the lines are).
     starts = prints.where("prev IS NULL").drop("prev")
     firsts = starts.groupBy("g").agg(F.min(F.struct(F.col("_d").alias("d0"), F.col("pos").alias("p0"))).alias("f"), F.count("*").alias("uses")).where("uses > 1")
-    firsts = scratch.save(firsts.select("g", "f.d0", "f.p0", "uses"))
+    firsts = save_lean(scratch, firsts.select("g", "f.d0", "f.p0", "uses"))
     across = join_hot(starts, firsts, "g").where("_d <> d0").select("_d", "d0", (F.col("p0") - F.col("pos")).alias("shift"))
     within = prints.where("prev IS NOT NULL").select("_d", F.col("_d").alias("d0"), (F.col("prev") - F.col("pos")).alias("shift"))
-    aligned = scratch.save(across.unionByName(within).distinct())
+    aligned = save_lean(scratch, across.unionByName(within).distinct())
+    scratch.drop(prints)
+    scratch.drop(firsts)
 
     # Both documents' lines as arrays, through join_salted as one may serve many.
     wanted = aligned.select("_d").unionByName(aligned.select(F.col("d0").alias("_d"))).distinct()
-    arrays = scratch.save(lines.join(wanted, "_d", "left_semi").groupBy("_d").agg(F.array_sort(F.collect_list(F.struct("pos", "h", "nw"))).alias("ls")))
+    arrays = save_lean(scratch, lines.join(wanted, "_d", "left_semi").groupBy("_d").agg(F.array_sort(F.collect_list(F.struct("pos", "h", "nw"))).alias("ls")))
+    scratch.drop(lines)
     uses = aligned.groupBy(F.col("d0").alias("_d")).agg(F.count("*").alias("uses"))
-    earlier = scratch.save(arrays.join(uses, "_d").select(F.col("_d").alias("d0"), F.col("ls.h").alias("h0"), "uses"))
-    own = aligned.groupBy("_d").agg(F.count("*").alias("uses")).join(arrays, "_d")
-    both = join_salted(join_salted(aligned, scratch.save(own), "_d", F.struct("d0", "shift")), earlier, "d0", F.struct("_d", "shift"))
+    earlier = save_lean(scratch, arrays.join(uses, "_d").select(F.col("_d").alias("d0"), F.col("ls.h").alias("h0"), "uses"))
+    own = save_lean(scratch, aligned.groupBy("_d").agg(F.count("*").alias("uses")).join(arrays, "_d"))
+    scratch.drop(arrays)
+    both = join_salted(join_salted(aligned, own, "_d", F.struct("d0", "shift")), earlier, "d0", F.struct("_d", "shift"))
     # Of the lines that the alignment pairs, those that differ cut the rest into stretches of equal lines.
     low, high = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("ls"), F.size("h0") - F.col("shift"))
     differ = F.filter(F.sequence(F.col("low"), F.col("high") - 1), lambda p: F.get(F.col("ls"), p)["h"] != F.get(F.col("h0"), p + F.col("shift")))

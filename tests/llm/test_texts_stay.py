@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 
 import numpy as np
 import pytest
 
 import test_pipeline as plain
-from genoframe.llm import jaccard_join, mixing
+from genoframe.llm import jaccard_join, line_dedup, mixing
+from genoframe.llm.common import Scratch
 
 DDL = "doc_id long, text string, lang string, source string, n_chars int"
 
@@ -64,3 +66,11 @@ def test_keep_first_joins_texts_with_the_rows_that_go(spark, no_broadcasts):
     alone = jaccard_join.keep_first(spark.createDataFrame(docs[:100] + docs[200:220], DDL))
     assert "Exchange hashpartitioning" not in plan_of(alone)
     assert Counter(r["doc_id"] for r in alone.collect()) == Counter(range(100))
+
+
+def test_dedup_lines_leaves_only_the_tables_it_reads(spark):
+    docs = spark.createDataFrame([(i, "\n".join(["same words in a line " * 6, f"own {i}"]), "en", "a", 9) for i in range(20)], DDL)
+    scratch = Scratch(spark)
+    runs = line_dedup.repeated_runs(docs, scratch)
+    assert len(os.listdir(scratch.root.removeprefix("file://"))) == 3
+    assert runs.count() == 19
