@@ -113,6 +113,25 @@ def test_first_component(spark):
     assert np.allclose(got, want, atol=1e-6)
 
 
+def test_first_component_of_many_cells(spark):
+    """Noise, whose first values lie close together: in one pass, and in a space that grows and starts again."""
+    rng = np.random.default_rng(4)
+    x = rng.poisson(9, (40, 400))
+    x[7] = 5
+    frame = spark.createDataFrame([(c, b, int(x[b, c])) for b in range(40) for c in range(400)], "cell long, bin_id int, n long")
+    for scale in (False, True):
+        y = x - x.mean(1, keepdims=True)
+        y = y / np.where(y.any(1), x.std(1, ddof=1), 1)[:, None] if scale else y
+        u, _, v = np.linalg.svd(y, full_matrices=False)
+        want = u[:, 0] * (1 if v[0][abs(v[0]).argmax()] > 0 else -1)
+        for sizes in ({}, {"block": 12, "most": 36}):
+            got = correct.first_loadings(frame, scale, **sizes).orderBy("bin_id").collect()
+            assert np.allclose([r["loading"] for r in got], want, atol=1e-8)
+    flat = correct.first_loadings(frame.withColumn("n", frame.bin_id.cast("long"))).collect()
+    assert len(flat) == 40 and not any(r["loading"] for r in flat)
+    assert correct.first_loadings(frame.limit(0)).count() == 0
+
+
 def test_planted_clones(spark):
     """Normal cells and a clone with 2, 4 and 3 copies. Profiles of even copies alone, as 2 and 4, fit 1 and 2 as well:
     the grid search cannot tell them apart, so the clone has an odd level."""
