@@ -122,6 +122,33 @@ def test_ward_against_definition():
     assert cluster.cut(11, merges, k=2).tolist() == [0] * 6 + [1] * 5
 
 
+def test_ward_of_equal_cells(spark, monkeypatch):
+    """Copies of cells are merged by a join, not a pair a round, and count as cells in every cut."""
+    rng = np.random.default_rng(6)
+    points = rng.normal(0, 1, (9, 3))[rng.integers(0, 9, 120)]
+    rows = [(c, b, float(x)) for c, p in enumerate(points) for b, x in enumerate(p)]
+    prints, asked = spark.createDataFrame(rows, "cell long, bin_id int, f double").repartition(5), []
+    nearest = cluster.nearest
+    monkeypatch.setattr(cluster, "nearest", lambda *a: asked.append(1) or nearest(*a))
+    merges = cluster.ward_merges(points, np.ones(120))
+    got = cluster.ward_labels(prints, 1e-9, 4.0, max_cells=10).orderBy("cell").collect()
+    assert len(asked) < 3
+    assert [r["first"] for r in got] == cluster.cut(120, merges, 1e-9).tolist() and len({r["first"] for r in got}) == 9
+    assert [r["second"] for r in got] == cluster.cut(120, merges, 4.0).tolist()
+    assert cluster.ward_labels(prints, k=40, max_cells=10).select("label").distinct().count() == 40
+
+
+def test_fingerprints_of_equal_cells(spark):
+    """Cells with equal counts have equal fingerprints to the last bit, in whatever order their bins come."""
+    rng = np.random.default_rng(7)
+    values = rng.uniform(0, 9, 60)
+    rows = [(c, int(b), float(values[b])) for c in range(40) for b in rng.permutation(60)]
+    frame = spark.createDataFrame(rows, "cell long, bin_id int, value double")
+    norm = correct.plus_one(frame, "value")
+    prints = cluster.fingerprints(norm, norm.select("bin_id").distinct())
+    assert norm.select("bin_id", "y").distinct().count() == prints.select("bin_id", "f").distinct().count() == 60
+
+
 def test_first_component(spark):
     rng = np.random.default_rng(1)
     x = rng.poisson(20, (30, 8)) + np.outer(rng.normal(size=30), np.arange(8)).round().astype(int)
