@@ -197,6 +197,17 @@ def test_planted_clones(spark):
     assert len(got) == len(truth) * n and np.mean(right) > 0.95
 
 
+def test_quality_control_goes_through_reads_once(spark, tmp_path):
+    """What follows quality control reads what was saved, and neither the reads nor all counts again."""
+    rows = [(f"c{i % 5}", "chr1", p, p + 4, 60, 65, 4) for i in range(400) for p in [i * 7 % 96]]
+    spark.createDataFrame(rows, "cell string, chrom string, start long, end long, mapq int, flag int, query_length int").write.parquet(str(tmp_path / "reads"))
+    reads = spark.read.parquet(str(tmp_path / "reads"))
+    bins = spark.createDataFrame([(b, "chr1", b * 10 + 1, (b + 1) * 10, 50.0, 1.0) for b in range(10)], "bin_id int, chrom string, start long, end long, gc double, mapp double")
+    p = replace(Params(), bin_size=10, min_mean=1.0)
+    kept = pipeline.quality_controlled(pipeline.count_matrix(reads, bins, p), reads, bins, p)
+    assert kept.count() and not [f for f in kept.inputFiles() if str(tmp_path) in f]
+
+
 def test_calls_round_half_even(spark):
     values = spark.createDataFrame([(0, "a", 0, 0, 1.25), (0, "b", 0, 0, 1.25)], "cluster int, cell string, pos int, seg_id int, y double")
     by_cell = spark.createDataFrame([("a", 2.0), ("b", 2.8)], "cell string, ploidy double")
